@@ -12,14 +12,19 @@ larger than its own. If sets r and s differ in at most H elements, at most H seg
   whole and with each element deleted once, and one side of a match must be whole.
 
 The band's allocation is the cheaper of the two by the signatures it indexes. Sets that share a signature form a
-group; each member is verified against the group's pivot, and by the triangle inequality of the Jaccard distance only
-pairs whose distances to the pivot are within 1 - t of each other, and that no verified link joins yet, are verified
-afterwards. So components are exact while no group is expanded into all its pairs.
+group; each member is verified against the group's pivot, then, in a few turns, against other pivots as far as no
+chain of verified links joins the two yet. By the triangle inequality of the Jaccard distance, only pairs whose distances
+to the first pivot are within 1 - t of each other can link; those of them that are still in different components are
+verified last. So components are exact while no group is expanded into all its pairs.
+
+The cost of a segment also counts how common it is: segments made only of shingles that very many documents hold come
+last in the order, so a passage in a third of all documents makes no group as long as a set has enough others. Before
+two sets are compared, their parity sketches are: each element flips one bit, so two sketches differ in no more bits
+than the sets in elements, and a pair beyond the bound can't link.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .shared import components, stash
+from .shared import components, shards_for, stash, text_bytes
 
 U = np.uint64
-SHARDS = 32
 
 
 class Bands:
@@ -77,15 +81,52 @@ def class_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return B.mix(total[at[1:]] - total[at[:-1]] + n.astype(U) * U(0x9E3779B97F4A7C15))
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parity of the elements per bit; as many bits as the power of two from twice the elements up, 64 at least."""
+    bits = max(64, 1 << (2 * len(h) - 1).bit_length()) if len(h) else 64
+    return np.packbits((np.bincount((h & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_gap(a: bytes, b: bytes) -> int:
+    """At most the number of elements that only one of the two sets has."""
+    width = min(len(a), len(b))
+    return int(np.bitwise_count(folded(np.frombuffer(a, np.uint8), width) ^ folded(np.frombuffer(b, np.uint8), width)).sum())
+
+
+def folded(x: np.ndarray, width: int) -> np.ndarray:
+    """The sketch of the same set with fewer bits."""
+    while len(x) > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def _classes(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, key = [], []
+            n, key, body = [], [], []
             for _, _, h, at in sets_of(batch, size):
                 n.append(np.diff(at))
                 key.append(B.signed(class_keys(h, at)))
+                body += [sketch(h[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             if n:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(n)), pa.array(np.concatenate(key))], ["doc_id", "n_shingles", "class_key"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(n)), pa.array(np.concatenate(key)), pa.array(body, pa.binary())], ["doc_id", "n_shingles", "class_key", "sketch"])
+
+    return run
+
+
+def _common(size: int, least: int):
+    """Shingles that at least ``least`` documents of a batch hold, with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [h for _, _, h, _ in sets_of(batch, size)]
+            if every:
+                s = np.concatenate(every)
+                s.sort()
+                start = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+                count = np.diff(np.append(start, len(s)))
+                often = count >= least
+                yield pa.RecordBatch.from_arrays([pa.array(B.signed(s[start[often]])), pa.array(count[often].astype(np.int64))], ["h", "n"])
 
     return run
 
@@ -101,13 +142,18 @@ def _segments(h: np.ndarray, doc: np.ndarray, m: np.ndarray) -> tuple[np.ndarray
     return start, seg[start], end - start, total[end] - total[start]
 
 
-def signatures(h: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, at: np.ndarray, bands: Bands, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of sets: (64-bit signature, set, whole) arrays. whole is false for a segment with one element deleted."""
     n = np.diff(at)
     own = bands.of(np.maximum(n, 1))
     least = -(-n * bands.num // bands.den)
     low = bands.of(np.maximum(least, 1))
     sig, who, whole = [], [], []
+    rare = np.ones(len(h), bool)
+    if len(common) and len(h):
+        place = np.searchsorted(common, h)
+        place[place == len(common)] = 0
+        rare = common[place] != h
     for back in range(int((own - low).max(initial=0)) + 1):
         band = own - back
         part = np.flatnonzero((n > 0) & (band >= low))
@@ -139,8 +185,9 @@ def signatures(h: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray,
         # wide bands: the first H + 1 of the non-empty segments
         wide = ~slim[at_doc]
         if wide.any():
-            d, t, c = at_doc[wide], token[wide], count[wide]
-            order = np.lexsort((t, -np.minimum(c, 255), d))
+            some = np.add.reduceat(rare[rows].astype(np.int64), start) > 0
+            d, t, c = at_doc[wide], token[wide], np.minimum(count[wide], 255) + 256 * some[wide]
+            order = np.lexsort((t, -c, d))
             d, t = d[order], t[order]
             first = np.searchsorted(d, np.arange(len(part)))
             pick = np.arange(len(d)) - first[d] <= differ[d]
@@ -160,7 +207,7 @@ def signatures(h: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray,
     return np.concatenate(sig), np.concatenate(who), np.concatenate(whole)
 
 
-def _emit(size: int, bands: Bands, shards: int):
+def _emit(size: int, bands: Bands, shards: int, common):
     bits = shards.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +219,7 @@ def _emit(size: int, bands: Bands, shards: int):
                 _, one = np.unique(key, return_index=True)  # copies within the batch stand once
                 fresh = np.zeros(len(key), bool)
                 fresh[one] = True
-                sig, who, whole = signatures(h, at, bands)
+                sig, who, whole = signatures(h, at, bands, common.value)
                 ok = fresh[who]
                 got.append((sig[ok], (who[ok] + base).astype(np.uint32), whole[ok]))
                 keys.append(key)
@@ -267,39 +314,70 @@ def _stars(bands: Bands):
     return run
 
 
-def _rest(bands: Bands):
-    """Pairs of a group without its pivot that may link: see the module's text."""
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shard, block in zip(batch.column("shard").to_pylist(), batch.column("block"), strict=True):
+            key = np.unique(B.unpack(block.as_py())[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), shard, np.int32)), pa.array(B.signed(key))], ["shard", "key"])
+
+
+def _next(bands: Bands, turn: int | None):
+    """Pairs of a group's members in different components that may link: with the pivot of this turn, or all of them.
+
+    ``known`` holds each member's component (k1 = k2) and the bounds of the distances that are known.
+    """
 
     def run(groups: pa.Table, known: pa.Table) -> pa.Table:
-        pairs = []
-        k = np.stack([known.column(c).to_numpy() for c in ("k1", "k2")], 1).view(U) if len(known) else np.zeros((0, 2), U)
-        at = {x: i for i, x in enumerate(map(tuple, k.tolist()))}
-        far, comp = known.column("distance").to_numpy(), known.column("component").to_numpy()
+        pairs = [np.zeros((0, 2), U)]
+        k = np.stack([known.column(c).to_numpy() for c in ("k1", "k2")], 1).view(U)
+        near, far, comp = (known.column(c).to_numpy() for c in ("near", "far", "component"))
+        own = k[:, 0] == k[:, 1]
+        order = np.argsort(k[own, 0])
+        names, comps = k[own, 0][order], comp[own][order]
+        prints = known.column("sketch").to_pylist()
+        prints = [prints[i] for i in np.flatnonzero(own)[order].tolist()]
+        at = {x: i for i, x in zip(np.flatnonzero(~own).tolist(), map(tuple, k[~own].tolist()), strict=True)}
         slack = 1 - bands.num / bands.den + 1e-9
         for block in groups.column("block"):
             count, cls, whole, n = B.unpack(block.as_py())
-            pivot, group = _pivots(count, whole)
-            p = pivot[group]
-            ids = np.array([at.get(x, -1) for x in zip(cls[p].tolist(), cls.tolist(), strict=True)], np.int64)
-            d = np.where(ids >= 0, far[ids] if len(far) else 1.0, np.nan)  # nan: the sizes of pivot and member don't fit, no distance is known
-            c = np.where(ids >= 0, comp[ids] if len(comp) else 0, cls.view(np.int64))
-            open_ = np.arange(len(cls)) != p
-            # groups where every member has linked with the pivot need nothing more
-            hard = np.zeros(len(count), bool)
-            np.logical_or.at(hard, group[open_], ~(d[open_] <= slack))
+            if not len(count):
+                continue
+            pivot, _ = _pivots(count, whole)
+            who = np.searchsorted(names, cls)
+            c = comps[who]
             start = np.concatenate([[0], np.cumsum(count)])
+            hard = np.minimum.reduceat(c, start[:-1]) != np.maximum.reduceat(c, start[:-1])
             for g in np.flatnonzero(hard).tolist():
                 rows = np.arange(start[g], start[g + 1])
-                rows = rows[rows != pivot[g]]
-                rows = rows[np.argsort(n[rows], kind="stable")]
-                for x, i in enumerate(rows.tolist()):
-                    js = rows[x + 1 :]
-                    js = js[n[js] * bands.num <= n[i] * bands.den]
-                    gap = np.abs(d[js] - d[i])
-                    js = js[(c[js] != c[i]) & ((whole[js] | whole[i]) > 0) & ~(gap > slack)]
+                p = int(pivot[g])
+                ids = np.array([at.get((int(cls[p]), x), -1) for x in cls[rows].tolist()], np.int64)
+                # bounds of the distances from the first pivot; where the sizes don't fit, only that it exceeds the slack is known
+                lo = np.where(rows == p, 0.0, np.where(ids >= 0, near[ids], slack))
+                hi = np.where(rows == p, 0.0, np.where(ids >= 0, far[ids], 1.0))
+                width = min(len(prints[w]) for w in who[rows])
+                bits = np.stack([folded(np.frombuffer(prints[w], np.uint8), width) for w in who[rows]])
+                if turn is None:
+                    here = np.flatnonzero(rows != p)
+                    here = here[np.argsort(n[rows[here]], kind="stable")]
+                    starts = range(len(here))
+                else:
+                    full = np.flatnonzero(whole[rows])
+                    q = int(full[np.argmin(B.mix(cls[rows[full]] + U(turn)))])
+                    here = np.append(q, np.delete(np.arange(len(rows)), q))
+                    starts = range(1)
+                for x in starts:
+                    i, js = here[x], here[x + 1 :]
+                    ok = (c[rows[js]] != c[rows[i]]) & ((whole[rows[js]] | whole[rows[i]]) > 0) & _fits(bands, n[rows[js]], n[rows[i]])
+                    js = js[ok & (lo[js] - hi[i] <= slack) & (lo[i] - hi[js] <= slack)]
                     if len(js):
-                        pairs.append(np.stack([np.minimum(cls[js], cls[i]), np.maximum(cls[js], cls[i])], 1))
-        pair = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), U)
+                        gap = np.bitwise_count(bits[js] ^ bits[i]).sum(1)
+                        js = js[gap <= bands.most_differ(n[rows[js]], n[rows[i]])]
+                    if len(js):
+                        u, v = cls[rows[i]], cls[rows[js]]
+                        pairs.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
+            if len(pairs) > 64:
+                pairs = [np.unique(np.concatenate(pairs), axis=0)]
+        pair = np.unique(np.concatenate(pairs), axis=0)
         return pa.table({"k1": B.signed(pair[:, 0].copy()), "k2": B.signed(pair[:, 1].copy())})
 
     return run
@@ -316,6 +394,18 @@ def _sets(size: int):
     return run
 
 
+def _sift(bands: Bands):
+    """Whether two sketches let their sets link, and a lower bound of the distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gap = np.array([sketch_gap(a, b) for a, b in zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True)], np.int64)
+            n1, n2 = batch.column("n1").to_numpy(), batch.column("n2").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array((gap <= bands.most_differ(n1, n2)) & _fits(bands, n1, n2)), pa.array(2 * gap / np.maximum(n1 + n2 + gap, 1))], ["k1", "k2", "may", "near"])
+
+    return run
+
+
 def _verify(bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,43 +424,64 @@ def _verify(bands: Bands):
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """pairs (k1, k2) with linked and distance, from the documents' own sets."""
-    need = pairs.select(F.col("k1").alias("class_key")).union(pairs.select("k2")).distinct()
-    reps = classes.join(need, "class_key", "left_semi").groupBy("class_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    """pairs (k1, k2) with linked and bounds near and far of the distance: by sketches, then by the documents' own sets."""
+
+    def side(i: int) -> DataFrame:
+        return classes.select(F.col("class_key").alias(f"k{i}"), F.col("sketch").alias(f"s{i}"), F.col("n").alias(f"n{i}"))
+
+    sifted = pairs.join(side(1), "k1").join(side(2), "k2").select("k1", "k2", "s1", "s2", "n1", "n2")
+    sifted = stash(sifted.mapInArrow(_sift(bands), "k1 long, k2 long, may boolean, near double"), "sifted")
+    may = sifted.where("may").select("k1", "k2")
+    need = may.select(F.col("k1").alias("class_key")).union(may.select("k2")).distinct()
+    reps = classes.join(need, "class_key", "left_semi").select("doc_id").distinct()
     sets = docs.join(reps, "doc_id", "left_semi").mapInArrow(_sets(size), "key long, elements binary").groupBy("key").agg(F.first("elements").alias("elements"))
     sets = stash(sets, "sets")
-    both = pairs.join(sets.select(F.col("key").alias("k1"), F.col("elements").alias("e1")), "k1")
+    both = may.join(sets.select(F.col("key").alias("k1"), F.col("elements").alias("e1")), "k1")
     both = both.join(sets.select(F.col("key").alias("k2"), F.col("elements").alias("e2")), "k2")
-    return stash(both.select("k1", "k2", "e1", "e2").mapInArrow(_verify(bands), "k1 long, k2 long, linked boolean, distance double"), "links")
+    exact = stash(both.select("k1", "k2", "e1", "e2").mapInArrow(_verify(bands), "k1 long, k2 long, linked boolean, distance double"), "links")
+    out = sifted.join(exact, ["k1", "k2"], "left")
+    return stash(out.select("k1", "k2", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("distance", "near").alias("near"), F.coalesce("distance", F.lit(1.0)).alias("far")), "checked")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 75, den: int = 100, shards: int = SHARDS) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 75, den: int = 100, common: int = 100_000, turns: int = 2) -> DataFrame:
     """Documents with their set size and the component that links of similarity >= num/den make.
 
     Returns doc_id, n_shingles, component_id, class_key (equal for equal sets). Null or empty texts and texts without
     words have no set: n_shingles 0, their own component. Fewer than ``shingle`` words: one shingle of all. Rows with
     a null id keep their row with a null component and link with nothing. Repeated ids are rows of their own that
-    share what their sets link. Other columns of ``docs`` are not read.
+    share what their sets link. ``common``: shingles, the most frequent, that the order of segments puts last; it
+    changes cost only. Other columns of ``docs`` are not read.
     """
     bands = Bands(num, den)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stash(docs.mapInArrow(_classes(shingle), "doc_id long, n_shingles long, class_key long"), "classes")
+    total = docs.select(F.sum(text_bytes(F.col("text")))).first()[0] or 0
+    shards = shards_for(total, 24 << 20)
+    rows = stash(docs.mapInArrow(_classes(shingle), "doc_id long, n_shingles long, class_key long, sketch binary"), "classes")
     known = docs.where("doc_id is not null")
-    classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("class_key").agg(F.min("doc_id").alias("doc_id"))
-    blocks = known.mapInArrow(_emit(shingle, bands, shards), "shard int, block binary")
+    classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
+    classes = stash(classes, "classes")
+    often = known.mapInArrow(_common(shingle, 8), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(common)
+    often = np.sort(often.select("h").toArrow().column("h").to_numpy().view(U))  # only the order of segments depends on it
+    blocks = known.mapInArrow(_emit(shingle, bands, shards, docs.sparkSession.sparkContext.broadcast(often)), "shard int, block binary")
     groups = stash(blocks.groupBy("shard").applyInArrow(_groups, "shard int, block binary"), "groups")
     asked = stash(groups.mapInArrow(_stars(bands), "shard int, k1 long, k2 long"), "stars")
+    members = groups.mapInArrow(_members, "shard int, key long")
+    members = stash(members.join(classes.select(F.col("class_key").alias("key"), "sketch"), "key").select("shard", "key", "sketch"), "members")
     first = _checked(asked.select("k1", "k2").distinct(), known, classes, shingle, bands)
-    links = first.where("linked").select(F.col("k1").alias("a"), F.col("k2").alias("b"))
+    tried, links = first, first.where("linked").select(F.col("k1").alias("a"), F.col("k2").alias("b"))
     comp = stash(components(links), "comps")
-    told = asked.join(first, ["k1", "k2"]).join(comp.select(F.col("node").alias("k2"), "component"), "k2", "left")
-    told = told.select("shard", "k1", "k2", "distance", F.coalesce("component", "k2").alias("component"))
-    more = groups.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_rest(bands), "k1 long, k2 long").distinct()
-    more = stash(more.join(first.select("k1", "k2"), ["k1", "k2"], "left_anti"), "rest")
-    if not more.isEmpty():
-        again = _checked(more, known, classes, shingle, bands).where("linked").select(F.col("k1").alias("a"), F.col("k2").alias("b"))
-        if not again.isEmpty():
-            comp = stash(components(links.union(again)), "comps")
+    for turn in (*range(1, turns + 1), None):
+        own = members.join(comp.withColumnRenamed("node", "key"), "key", "left").select("shard", F.col("key").alias("k1"), F.col("key").alias("k2"), F.lit(0.0).alias("near"), F.lit(0.0).alias("far"), F.coalesce("component", "key").alias("component"), "sketch")
+        gaps = asked.join(first, ["k1", "k2"]).select("shard", "k1", "k2", "near", "far", F.lit(0).cast("long").alias("component"), F.lit(None).cast("binary").alias("sketch"))
+        more = groups.groupBy("shard").cogroup(own.union(gaps).groupBy("shard")).applyInArrow(_next(bands, turn), "k1 long, k2 long").distinct()
+        pair = tried.select(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2"))
+        more = stash(more.select(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).distinct().join(pair, ["k1", "k2"], "left_anti"), "more")
+        if more.isEmpty():
+            continue
+        again = _checked(more, known, classes, shingle, bands)
+        tried = tried.unionByName(again)
+        links = links.union(again.where("linked").select("k1", "k2"))
+        comp = stash(components(links), "comps")
     named = classes.join(comp.withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("component", F.coalesce("component", "class_key"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     lookup = named.join(least, "component").select("class_key", "component_id")

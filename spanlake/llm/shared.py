@@ -49,6 +49,11 @@ def word_count(col: Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def shards_for(total: int, each: int = 8 << 20) -> int:
+    """Shards, a power of two, of about ``each`` bytes of text."""
+    return 1 << max(3, (max(total, 1) // each).bit_length())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: one row (node, component) per node, component = smallest node.
 

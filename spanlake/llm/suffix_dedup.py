@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .shared import stash, text_bytes
+from .shared import shards_for, stash, text_bytes
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
@@ -401,10 +401,6 @@ def _marks(least: int, with_text: bool):
     return run
 
 
-def shards_for(total: int, each: int = 32 << 20) -> int:
-    return 1 << max(3, (max(total, 1) // each).bit_length())
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, chunk_bytes: int = 4 << 20, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """Per document doc_id, the columns of ``keep``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the remaining text.
 

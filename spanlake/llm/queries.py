@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,14 @@ from pyspark.sql import functions as F
 
 from .bucket_packing import pack_buckets
 from .curriculum_mix import mix_sources
+from .factorization_machine import fit_quality, held_out, score_quality
+from .ivf_pq import nearest
 from .jaccard_join import jaccard_components
+from .ngram_trie import score_documents
+from .repair_tokens import read_digests, write_tokens
 from .ring_shards import ring_shards
-from .shared import text_bytes, word_count
+from .robust_outliers import robust_outliers
+from .shared import shared_dir, text_bytes, word_count
 from .suffix_dedup import repeated_spans
 
 
@@ -19,6 +25,16 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def op1_repair_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    path = f"{shared_dir(spark)}/spanlake-tokens-{uuid.uuid4().hex}"
+    write_tokens(_documents(spark, sf_dir, "doc_id", "text"), path, tokenizer)
+    return read_digests(spark, path)
+
+
 def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -61,10 +77,31 @@ from c
 """
 
 
+def op4_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = robust_outliers(_documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def op7_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op8_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = score_quality(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_documents(spark, sf_dir, "doc_id", "text"))
 
@@ -74,8 +111,11 @@ def op10_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_buckets(docs, length=F.col("n"))
 
 
+ALL = (op1_repair_tokens, op2_ring_shards, op3_curriculum_mix, op4_ngram_trie, op5_jaccard_join, op6_robust_outliers, op7_ivf_pq, op8_factorization_machine, op9_suffix_dedup, op10_bucket_packing)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ring_shards, op3_curriculum_mix, op5_jaccard_join, op9_suffix_dedup, op10_bucket_packing)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:

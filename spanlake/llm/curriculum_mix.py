@@ -40,7 +40,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
     return s.select("source", F.col("rank"), F.col("words").alias("source_size"), F.least(F.col("limit"), F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size: Column | None = None, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size: Column | None = None, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, share: float = 1.5, most: float = 2.0, ordered: bool = True) -> DataFrame:
     """``docs`` with size, source_size, target, taken, first_taken, position, repeat_position.
 
     ``taken``: words the mix takes from the document, of which ``first_taken`` on the first pass through its source;
@@ -49,7 +49,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     size 0. A null source is a source of its own, the last. Rows are ordered in a source by md5 of id and size, then
     by them; equal rows are interchangeable. A source is cut into 256 ranges of that order, of which only sums pass
     through a window over the source, so a source with a third of all rows is no single task. The number of sources
-    is taken to fit one task; that of documents isn't. Result sorted by position in ranges.
+    is taken to fit one task; that of documents isn't. If ``ordered``, the
+    result is sorted by position in ranges.
     """
     mine = ["size", "source_size", "target", "taken", "first_taken", "position", "repeat_position"]
     kept = [c for c in docs.columns if c not in mine]
@@ -81,7 +82,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         return F.when(words > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), t)))
 
     rows = rows.withColumns({"position": time(F.col("_from"), F.col("first_taken")), "repeat_position": time(F.col("_from") + F.col("source_size"), F.col("_again")), "taken": F.col("first_taken") + F.col("_again")})
-    return rows.select(*[f"`{c}`" for c in kept], *mine).repartitionByRange(F.col("position")).sortWithinPartitions("position")
+    rows = rows.select(*[f"`{c}`" for c in kept], *mine)
+    return rows.repartitionByRange(F.col("position")).sortWithinPartitions("position") if ordered else rows
 
 
 def training_order(mixed: DataFrame, kept: list[str]) -> DataFrame:

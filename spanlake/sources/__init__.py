@@ -1,0 +1 @@
+"""Readers and writers of samples, predictions, question corpora, task configurations and reports."""

@@ -10,6 +10,7 @@ writes will do, and a lost executor's work is redone by Spark's commit protocol.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -19,78 +20,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+U = np.uint64
 MAGIC = b"RPG1"
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Unsigned numbers in as many bits as the largest needs."""
+    """Unsigned numbers: count, bits, the lower 16 bits (8, if they do), then a bit plane for every further bit."""
     x = np.asarray(x, np.uint32)
     width = max(1, int(x.max(initial=0)).bit_length())
-    bits = np.unpackbits(x.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return len(x).to_bytes(8, "little") + bytes([width]) + np.packbits(bits, bitorder="little").tobytes()
+    low = x.astype("<u1" if width <= 8 else "<u2").tobytes()
+    return len(x).to_bytes(8, "little") + bytes([width]) + low + b"".join(np.packbits((x >> j & 1).astype(np.uint8)).tobytes() for j in range(16, width))
 
 
 def _unpacked(raw: memoryview, at: int) -> tuple[np.ndarray, int]:
-    n, width = int.from_bytes(raw[at : at + 8], "little"), raw[at + 8]
-    size = -(-n * width // 8)
-    bits = np.unpackbits(np.frombuffer(raw[at + 9 : at + 9 + size], np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :width] = bits
-    return np.packbits(wide, axis=1, bitorder="little").view(np.uint32).reshape(-1), at + 9 + size
+    n, width, at = int.from_bytes(raw[at : at + 8], "little"), raw[at + 8], at + 9
+    kind = np.dtype("<u1" if width <= 8 else "<u2")
+    x = np.frombuffer(raw, kind, n, at).astype(np.uint32)
+    at += n * kind.itemsize
+    for j in range(16, width):
+        x |= np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at), count=n).astype(np.uint32) << np.uint32(j)
+        at += -(-n // 8)
+    return x, at
+
+
+def _which(pairs: np.ndarray, key: np.ndarray, bits: int = 17) -> np.ndarray:
+    """For each key its place among the ascending pairs, -1: none. One probe into a table; pairs that lost their slot are searched for."""
+    slot = lambda x: (x * U(0x9E3779B97F4A7C15)) >> U(64 - bits)
+    table, at = np.full(1 << bits, len(pairs), np.int32), slot(pairs)
+    table[at] = np.arange(len(pairs), dtype=np.int32)
+    out = table[slot(key)]
+    out = np.where(np.append(pairs, U((1 << 64) - 1))[out] == key, out, -1)
+    lost = np.flatnonzero(table[at] != np.arange(len(pairs)))
+    if len(lost):
+        rest = np.flatnonzero(out < 0)
+        place = np.searchsorted(pairs[lost], key[rest])
+        place[place == len(lost)] = 0
+        hit = pairs[lost][place] == key[rest]
+        out[rest[hit]] = lost[place[hit]]
+    return out
 
 
 def grammar(seq: np.ndarray, base: int, rounds: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Final sequence, rules (pairs of symbols; rule r is symbol base + r) and the first rule of each round."""
-    seq = seq.astype(np.int64)
-    rules, firsts, top = [], [], base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        key = (seq[:-1] << 32) | seq[1:]
+    """Final sequence, rules (pairs of symbols; rule r is symbol base + r) and the first rule of each round.
+
+    Rounds end early when one shortens the sequence by less than a hundredth.
+    """
+    seq = np.ascontiguousarray(seq, np.uint32)
+    rules, firsts, top, gain = [], [], base, 1.0
+    while len(firsts) < rounds and len(seq) > 1 and gain >= 0.01:
+        key = (seq[:-1].astype(U) << U(32)) | seq[1:]
         s = np.sort(key)
-        start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        count = np.diff(np.append(start, len(s)))
+        start = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
+        count = np.diff(start)
         good = np.flatnonzero(count >= least)
         if len(good) > most:
             good = good[np.argpartition(-count[good], most)[:most]]
         if not len(good):
             break
         pairs = np.sort(s[start[good]])
-        left = np.zeros(top, bool)
-        left[pairs >> 32] = True
-        right = np.zeros(top, bool)
-        right[pairs & 0xFFFFFFFF] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        which = np.searchsorted(pairs, key[at])
-        which[which == len(pairs)] = 0
-        ok = pairs[which] == key[at]
-        at, which = at[ok], which[ok]
-        for final in (False, True):
+        which = _which(pairs, key)
+        at = np.flatnonzero(which >= 0).astype(np.int32)
+        which = which[at]
+        while True:
             # occurrences that touch form a run, of which every other one is taken
-            fresh = np.append(True, np.diff(at) > 1) if len(at) else np.zeros(0, bool)
-            first = np.flatnonzero(fresh)
-            odd = (np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) & 1
-            taken = odd == 0
-            if not final:
-                often = np.bincount(which[taken], minlength=len(pairs)) >= least
-                ok = often[which]
-                at, which = at[ok], which[ok]
+            place = np.arange(len(at), dtype=np.int32)
+            fresh = np.ones(len(at), bool)
+            np.not_equal(at[1:], at[:-1] + 1, out=fresh[1:])
+            taken = ((place - np.maximum.accumulate(np.where(fresh, place, 0))) & 1) == 0
+            often = (np.bincount(which[taken], minlength=len(pairs)) >= least)[which]
+            if often.all():
+                break
+            at, which = at[often], which[often]
         at, which = at[taken], which[taken]
         if not len(at):
             break
-        used, name = np.unique(which, return_inverse=True)
+        used = np.flatnonzero(np.bincount(which, minlength=len(pairs)))
+        name = np.zeros(len(pairs), np.uint32)
+        name[used] = np.arange(top, top + len(used))
+        gain = len(at) / len(seq)
         seq = seq.copy()
-        seq[at] = top + name
+        seq[at] = name[which]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
         firsts.append(top - base)
-        rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1))
+        rules.append(np.stack([pairs[used] >> U(32), pairs[used] & U(0xFFFFFFFF)], 1).astype(np.int64))
         top += len(used)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), firsts
 
 
-def encode_shard(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 6, most: int = 8192, least: int = 8) -> bytes:
+def encode_shard(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 4, most: int = 8192, least: int = 8) -> bytes:
     """A shard's block: document lengths, round starts, rules, expansion lengths, final sequence."""
     seq, rules, firsts = grammar(ids, base, rounds, most, least)
     size = np.ones(base + len(rules), np.int64)
@@ -110,21 +129,21 @@ class Shard:
         self.base, at, parts = int.from_bytes(raw[4:8], "little"), 8, []
         for _ in range(6):
             x, at = _unpacked(raw, at)
-            parts.append(x.astype(np.int64))
-        self.lengths, self.firsts, a, b, size, self.seq = parts
+            parts.append(x)
+        lengths, firsts, a, b, size, self.seq = parts
+        self.lengths, self.firsts = lengths.astype(np.int64), firsts.astype(np.int64)
         self.rules = np.stack([a, b], 1)
-        self.size = np.concatenate([np.ones(self.base, np.int64), size])
+        self.size = np.concatenate([np.ones(self.base, np.int64), size.astype(np.int64)])
         self.bounds = np.concatenate([[0], np.cumsum(self.lengths)])
         self._ends = None
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
         for first in self.firsts[::-1].tolist():  # a later round's rules only name symbols of earlier ones
-            hit = seq >= self.base + first
-            if hit.any():
-                wide = np.repeat(seq, hit + 1)
-                at = np.cumsum(hit + 1) - 1
+            hit = np.flatnonzero(seq >= self.base + first)
+            if len(hit):
                 rule = self.rules[seq[hit] - self.base]
-                wide[at[hit] - 1], wide[at[hit]] = rule[:, 0], rule[:, 1]
+                wide = np.insert(seq, hit + 1, rule[:, 1])
+                wide[hit + np.arange(len(hit))] = rule[:, 0]
                 seq = wide
         return seq
 
@@ -146,25 +165,71 @@ class Shard:
         return self.slice(int(self.bounds[i]), int(self.bounds[i + 1]))
 
 
+def _byte_letters() -> list[str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
 class Encoder:
-    """Ids of texts. A text is cut at spaces and line ends, at which the tokenizer cuts anyway, and every distinct piece is encoded once."""
+    """Ids of texts, as bytes of little-endian 32-bit numbers.
 
-    def __init__(self, path: str, most: int = 400_000):
+    A text is cut at spaces and line ends, at which the tokenizer cuts anyway, and every distinct piece is encoded once.
+    Of a piece of plain letters with marks behind, the letters and the marks are looked up on their own, and the
+    library's model encodes the letters, without the machinery around it; whether that gives what the whole
+    tokenizer gives is tried when it is opened, and pieces of other kinds go through the whole tokenizer.
+    """
+
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|]*)").fullmatch
+    TRIALS = ("a", "Ab", "the", "Tion,", "word.", "It", "s", "re", "\u00e9t\u00e9", "ci\u00f3n;", "\u00c4rger", "stra\u00dfe:", "won|", "ll", "ve?!", "THEM")
+
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {"": ()}, most
-
-    def __call__(self, texts: list[str | None]) -> list[list[int]]:
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.known: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.split = True
+        try:
+            self.split = all(self._plain(self.PLAIN(w)) == self._whole([w])[0] for w in self.TRIALS)
+        except Exception:  # a model of another kind
+            self.split = False
+
+    def _whole(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _plain(self, found: re.Match) -> bytes:
+        stem, tail = found[1].lower(), found[2]
+        ids = self.stems.get(stem)
+        if ids is None:
+            letters = stem if stem.isascii() else "".join(self.letters[b] for b in stem.encode())
+            ids = self.stems[stem] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+        if tail not in self.tails:
+            self.tails[tail] = self._whole([tail])[0]
+        return ids + self.tails[tail]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
         pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set(chain.from_iterable(pieces)).difference(self.known))
+        fresh = set(chain.from_iterable(pieces)).difference(self.known)
         if len(self.known) + len(fresh) > self.most:
-            self.known = {"": ()}
-            fresh = [p for p in set(chain.from_iterable(pieces)) if p]
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            self.known.update(zip(part, (tuple(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(self.known.__getitem__, p))) for p in pieces]
+            self.known, self.stems, self.tails = {"": b""}, {}, {"": b""}
+            fresh = set(chain.from_iterable(pieces)).difference(self.known)
+        odd = []
+        for p in fresh:
+            if self.split and (found := self.PLAIN(p)):
+                self.known[p] = self._plain(found)
+            else:
+                odd.append(p)
+        self.known.update(zip(odd, self._whole(odd), strict=True))
+        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+
+
+#: One encoder a worker process and tokenizer: its pieces serve the tasks that follow.
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _write(path: str, end: int, shard_tokens: int, base: int, how: dict):
@@ -173,22 +238,23 @@ def _write(path: str, end: int, shard_tokens: int, base: int, how: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        if path not in _ENCODERS:
+            _ENCODERS[path] = Encoder(path)
+        encoder, part, last = _ENCODERS[path], TaskContext.get().partitionId(), end.to_bytes(4, "little")
         held, names, size, first, shard = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) for x in held], np.int64)
-            block = encode_shard(np.concatenate(held), lengths, base, **how)
+            lengths = np.array([len(x) // 4 for x in held], np.int64)
+            block = encode_shard(np.frombuffer(b"".join(held), "<u4"), lengths, base, **how)
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, shard, first, names, size, block), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                cut = batch.slice(i, 500)
+            for i in range(0, len(batch), 2000):
+                cut = batch.slice(i, 2000)
                 for name, ids in zip(cut.column("doc_id").to_pylist(), encoder(cut.column("text").to_pylist()), strict=True):
-                    ids.append(end)
-                    held.append(np.array(ids, np.uint32))
+                    held.append(ids + last)
                     names.append(name)
-                    size += len(ids)
+                    size += len(ids) // 4 + 1
                     if size >= shard_tokens:
                         yield flush()
                         held, names, first, size, shard = [], [], first + size, 0, shard + 1
@@ -201,7 +267,7 @@ def _write(path: str, end: int, shard_tokens: int, base: int, how: dict):
 WRITTEN = "part int, shard int, first_token long, doc_ids array<long>, n_tokens long, block binary"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, base: int = 1 << 16, shard_tokens: int = 1 << 20, **how) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, base: int = 1 << 16, shard_tokens: int = 1 << 18, **how) -> None:
     """Encode whole texts and write their grammars under ``path``, in ascending order of ids (null first).
 
     Null text counts as empty and has the end id only. Repeated ids stand next to each other, ordered by text.
@@ -216,9 +282,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, first, names, block in zip(*(batch.column(c).to_pylist() for c in ("part", "first_token", "doc_ids", "block")), strict=True):
             shard = Shard(block)
-            raw = shard.ids().astype("<u4")
-            cells = list(zip(shard.bounds[:-1].tolist(), shard.bounds[1:].tolist(), strict=True))
-            crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in cells]
+            raw = memoryview(shard.ids().astype("<u4", copy=False)).cast("B")
+            at = (4 * shard.bounds).tolist()
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(names), pa.int32()), pa.array(names, pa.int64()), pa.array(first + shard.bounds[:-1]), pa.array(shard.lengths), pa.array(crc, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 

@@ -248,8 +248,50 @@ def _emit(size: int, bands: Bands, shards: int, common):
     return run
 
 
-def _groups(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of at least two classes that share a signature in one shard, each distinct member list once."""
+def _spread(count: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows of runs of ``count`` rows from ``start``, one run after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def _distinct(count: np.ndarray, cls: np.ndarray, whole: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each distinct member list once."""
+    start = np.cumsum(count) - count
+    print_of = np.add.reduceat(B.mix(cls + whole.astype(U)), start) + count.astype(U)
+    _, pick = np.unique(print_of, return_index=True)
+    rows = _spread(count[pick], start[pick])
+    return count[pick], cls[rows], whole[rows], n[rows]
+
+
+def _groups(shards: int):
+    """Groups of at least two classes that share a signature in one shard, dealt on by their pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _grouped(batches)
+        if found is None:
+            return
+        count, cls, whole, n = found
+        pivot, _ = _pivots(count, whole)
+        to = (B.mix(cls[pivot]) % U(shards)).astype(np.int64)
+        start = np.cumsum(count) - count
+        out = []
+        for s in np.unique(to).tolist():
+            mine = np.flatnonzero(to == s)
+            rows = _spread(count[mine], start[mine])
+            out.append((s, B.pack(count[mine], cls[rows], whole[rows], n[rows])))
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["shard", "block"])
+
+    return run
+
+
+def _regroup(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All groups of one pivot, from every shard of signatures, each distinct member list once."""
+    parts = [B.unpack(block.as_py()) for batch in batches for block in batch.column("block")]
+    found = _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([B.pack(*found)], pa.binary())], ["shard", "block"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
+    """(members per group, classes, whole, sizes) of signatures that several classes have, at least one of them whole."""
     sig, cls, whole, n = [], [], [], []
     for batch in batches:
         for block in batch.column("block"):
@@ -274,16 +316,13 @@ def _groups(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     one = np.ones(len(sig), bool)
     one[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])  # each class once, whole if it is so in any row
     sig, cls, whole, n = sig[one], cls[one], whole[one], n[one]
-    if len(sig):
-        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        count = np.diff(np.append(start, len(sig)))
-        print_of = np.add.reduceat(B.mix(cls + whole.astype(U)), start) + count.astype(U)
-        good = (count > 1) & (np.add.reduceat(whole.astype(np.int64), start) > 0)
-        _, pick = np.unique(print_of[good], return_index=True)
-        start, count = start[good][pick], count[good][pick]
-        rows = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(start) else np.zeros(0, np.int64)
-        block = B.pack(count.astype(np.int64), cls[rows], whole[rows], n[rows])
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
+    if not len(sig):
+        return None
+    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    count = np.diff(np.append(start, len(sig)))
+    good = (count > 1) & (np.add.reduceat(whole.astype(np.int64), start) > 0)
+    rows = _spread(count[good], start[good])
+    return _distinct(count[good], cls[rows], whole[rows], n[rows]) if len(rows) else None
 
 
 def _fits(bands: Bands, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -463,7 +502,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often = known.mapInArrow(_common(shingle, 8), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(common)
     often = np.sort(often.select("h").toArrow().column("h").to_numpy().view(U))  # only the order of segments depends on it
     blocks = known.mapInArrow(_emit(shingle, bands, shards, docs.sparkSession.sparkContext.broadcast(often)), "shard int, block binary")
-    groups = stash(blocks.groupBy("shard").applyInArrow(_groups, "shard int, block binary"), "groups")
+    groups = blocks.groupBy("shard").applyInArrow(_groups(shards), "shard int, block binary")
+    groups = stash(groups.groupBy("shard").applyInArrow(_regroup, "shard int, block binary"), "groups")
     asked = stash(groups.mapInArrow(_stars(bands), "shard int, k1 long, k2 long"), "stars")
     members = groups.mapInArrow(_members, "shard int, key long")
     members = stash(members.join(classes.select(F.col("class_key").alias("key"), "sketch"), "key").select("shard", "key", "sketch"), "members")

@@ -36,7 +36,7 @@ _CODE = mix(np.arange(1, 257, dtype=U) * _BASE)
 def powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _POW.get(name)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 21), base, U)
+        have = np.full(max(n, 1 << 20), base, U)
         have[0] = 1
         np.cumprod(have, out=have)
         _POW[name] = have
@@ -59,7 +59,7 @@ def column(table: pa.Table | pa.RecordBatch, name: str) -> tuple[np.ndarray, np.
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20, rows: int = 30_000) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 19, rows: int = 30_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes; one longer row stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:

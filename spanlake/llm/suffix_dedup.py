@@ -303,7 +303,7 @@ def _firsts(least: int):
         name, low, count, lo, hi = (np.concatenate(x) for x in zip(*got, strict=True))
         body = np.concatenate(where)
         at = np.cumsum(count + least - 1) - (count + least - 1)
-        del got, where
+        del got, where, batch, block
         order = np.lexsort((name, low))
         start = np.flatnonzero(np.append(True, (name[order][1:] != name[order][:-1]) | (low[order][1:] != low[order][:-1])))
         of = np.zeros(len(name), np.int64)
@@ -320,7 +320,7 @@ def _firsts(least: int):
         weight = np.cumsum(counts[hard] + least)
         i = 0
         while i < len(hard):
-            limit = int(np.searchsorted(weight, (weight[i - 1] if i else 0) + (2 << 20)))
+            limit = int(np.searchsorted(weight, (weight[i - 1] if i else 0) + (1 << 19)))
             j = int(edge[np.searchsorted(edge, max(limit, i + 1))]) if edge[-1] >= max(limit, i + 1) else len(hard)
             part = hard[i:j]
             window = np.repeat(base[part] - (np.cumsum(counts[part]) - counts[part]), counts[part]) + np.arange(int(counts[part].sum()))

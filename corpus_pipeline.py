@@ -47,8 +47,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training sequence: documents once, twice or not at all by their source's target, in order of position."""
-    out = mix_sources(docs, ordered=False)
-    return training_order(out, list(docs.columns)).select(*(f"`{c}`" for c in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    out = mix_sources(docs.select("doc_id", "source", "text", row), ordered=False)
+    return training_order(out, ["row"]).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def pack_buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("longest must be a multiple of step")
     spark = docs.sparkSession
     n = length if length is not None else word_count(F.col(text_col))
-    rows = docs.select(F.col(id_col), *keep, n.alias("_words"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in keep)).alias("_row"), n.alias("_words"))
     last = F.greatest(F.lit(0), F.ceil(F.col("_words") / longest) - 1).cast("int")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     rows = rows.withColumn("first_word", F.col("piece").cast("long") * longest).withColumn("n_words", F.least(F.col("_words") - F.col("first_word"), F.lit(longest)).cast("long"))
@@ -73,13 +73,13 @@ def pack_buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fill = max(1, budget // top)
         table.append((k, top, fill, base))
         base += -(-inside // fill)
-    rows = rows.withColumn("bucket", bucket_of.cast("int")).withColumn("_hash", F.xxhash64(F.col(id_col), "piece", "n_words"))
+    rows = rows.withColumn("bucket", bucket_of.cast("int")).withColumn("_hash", F.xxhash64("_id", "piece", "n_words"))
     rows = rows.withColumn("_range", F.pmod(F.col("_hash"), F.lit(256)))
     ends = Window.partitionBy("bucket").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = rows.groupBy("bucket", "_range").count().withColumn("_start", F.sum("count").over(ends) - F.col("count")).drop("count")
-    rank = F.row_number().over(Window.partitionBy("bucket", "_range").orderBy("_hash", F.col(id_col), "piece", "n_words"))
+    rank = F.row_number().over(Window.partitionBy("bucket", "_range").orderBy("_hash", "_id", "piece", "n_words"))
     plan = spark.createDataFrame(table, "bucket int, padded int, fill int, _base long")
     starts = starts.join(F.broadcast(plan), "bucket")
     rows = rows.withColumn("_rank", rank).join(starts, ["bucket", "_range"]).withColumn("_rank", F.col("_start") + F.col("_rank") - 1)
     batch = F.col("_base") + F.floor(F.col("_rank") / F.col("fill"))
-    return rows.select(F.col(id_col), *keep, "piece", "first_word", "n_words", "bucket", "padded", batch.cast("long").alias("batch"), (F.col("_rank") % F.col("fill")).cast("int").alias("batch_row"), "fill")
+    return rows.select(F.col("_id").alias(id_col), *(F.col(f"_row.`{c}`").alias(c) for c in keep), "piece", "first_word", "n_words", "bucket", "padded", batch.cast("long").alias("batch"), (F.col("_rank") % F.col("fill")).cast("int").alias("batch_row"), "fill")

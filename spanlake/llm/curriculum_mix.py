@@ -55,9 +55,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     mine = ["size", "source_size", "target", "taken", "first_taken", "position", "repeat_position"]
     kept = [c for c in docs.columns if c not in mine]
     words = size if size is not None else word_count(F.col(text_col))
-    rows = docs.select(*[f"`{c}`" for c in kept if c not in (id_col, source_col)], F.col(id_col), F.col(source_col), words.alias("size"))
-    named = F.coalesce(F.concat(F.lit("+"), F.col(source_col)), F.lit("-"))
-    order = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col("size").cast("string")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_name"), words.alias("size"))
+    named = F.coalesce(F.concat(F.lit("+"), F.col("_name")), F.lit("-"))
+    order = F.md5(F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("-")), F.col("size").cast("string")))
     rows = rows.withColumns({"_source": named, "_order": order}).withColumn("_range", F.substring("_order", 1, 2))
     sums = rows.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
     ends = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -66,7 +66,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     targets = source_targets(per.select("source", "words"), weights, share, most)
     targets = targets.select(F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-")).alias("_source"), "rank", "source_size", "target")
     starts = starts.join(targets, "_source")
-    inside = Window.partitionBy("_source", "_range").orderBy("_order", F.col(id_col), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_source", "_range").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_end", F.sum("size").over(inside)).join(starts, ["_source", "_range"])
     rows = rows.withColumn("_from", F.col("_start") + F.col("_end") - F.col("size")).withColumn("_goal", F.round("target").cast("long"))
 
@@ -82,7 +82,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         return F.when(words > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), t)))
 
     rows = rows.withColumns({"position": time(F.col("_from"), F.col("first_taken")), "repeat_position": time(F.col("_from") + F.col("source_size"), F.col("_again")), "taken": F.col("first_taken") + F.col("_again")})
-    rows = rows.select(*[f"`{c}`" for c in kept], *mine)
+    rows = rows.select(*(F.col(f"_row.`{c}`").alias(c) for c in kept), *mine)
     return rows.repartitionByRange(F.col("position")).sortWithinPartitions("position") if ordered else rows
 
 
@@ -94,6 +94,7 @@ def training_order(mixed: DataFrame, kept: list[str]) -> DataFrame:
     half = lambda words: F.col("size") <= 2 * words
     first, again = F.col("first_taken"), F.col("taken") - F.col("first_taken")
     copies = F.filter(F.array(F.struct(F.lit(0).alias("copy"), F.col("position").alias("at"), (half(first) & (first > 0)).alias("whole")), F.struct(F.lit(1).alias("copy"), F.col("repeat_position").alias("at"), (half(again) & (again > 0)).alias("whole"))), lambda c: c["whole"])
-    rows = mixed.select(*[f"`{c}`" for c in kept], F.explode(copies).alias("_copy"))
-    rows = rows.select(*[f"`{c}`" for c in kept], F.col("_copy.copy").alias("copy"), F.col("_copy.at").alias("position"))
-    return rows.repartitionByRange(F.col("position")).sortWithinPartitions("position", "copy")
+    rows = mixed.select(*(f"`{c}`" for c in kept), F.explode(copies).alias("_copy"))
+    rows = rows.select(*(f"`{c}`" for c in kept), F.col("_copy.copy").alias("_no"), F.col("_copy.at").alias("_at"))
+    rows = rows.repartitionByRange(F.col("_at")).sortWithinPartitions("_at", "_no")
+    return rows.select(*(f"`{c}`" for c in kept if c not in ("copy", "position")), F.col("_no").alias("copy"), F.col("_at").alias("position"))

@@ -120,7 +120,7 @@ def _features(keep: list[str]):
 def _scores(model, keep: list[str], score_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = B.column(batch, "text")
+            buf, off = B.column(batch, "__text")
             for i, j in B.slices(off):
                 z = logits(model.value, *features(buf[off[i] : off[j]], off[i : j + 1] - off[i]))
                 part = batch.slice(i, j - i)
@@ -152,7 +152,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def score_quality(docs: DataFrame, model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the model's score in [0, 1]. Null and empty texts have a score like any other text without words."""
     keep = [c for c in docs.columns if c != score_col]
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], *([F.col(text_col).alias("text")] if "text" not in keep else []))
+    given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("__text"))
     kinds = dict(given.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{score_col}` double"
     return given.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model), keep, score_col), schema)

@@ -113,7 +113,7 @@ def encode_shard(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int =
     """A shard's block: document lengths, round starts, rules, expansion lengths, final sequence."""
     seq, rules, firsts = grammar(ids, base, rounds, most, least)
     size = np.ones(base + len(rules), np.int64)
-    for a, b in zip(firsts, [*firsts[1:], len(rules)], strict=True):
+    for a, b in zip(firsts, [*firsts[1:], len(rules)], strict=False):
         size[base + a : base + b] = size[rules[a:b, 0]] + size[rules[a:b, 1]]
     parts = [_packed(x) for x in (lengths, np.array(firsts), rules[:, 0], rules[:, 1], size[base:], seq)]
     return MAGIC + base.to_bytes(4, "little") + b"".join(parts)

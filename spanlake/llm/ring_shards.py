@@ -58,10 +58,11 @@ def ring_shards(df: DataFrame, key: str, spread: Column, shards: int = 24, virtu
     spark = df.sparkSession
     h = F.shiftrightunsigned(F.xxhash64(F.col(key)), 64 - RING_BITS)
     cell = (h * (1 << SPREAD_BITS) + F.pmod(F.xxhash64(spread), F.lit(1 << SPREAD_BITS))).cast("int")
-    rows = df.drop(shard_col, slot_col).withColumns({"_cell": cell, "_spread": spread})
+    kept = [c for c in df.columns if c not in (shard_col, slot_col)]
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col(key).alias("_key"), cell.alias("_cell"), spread.alias("_spread"))
     counts = {r["_cell"]: r["count"] for r in rows.groupBy("_cell").count().collect()}
     cuts = place(counts, shards, virtual, slack)
     table = spark.createDataFrame(cuts, "_cell int, _from long, _to long, _shard int, _slot long")
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy(F.xxhash64(F.col(key), F.col("_spread")), F.col(key), "_spread")).cast("long") - 1
+    rank = F.row_number().over(Window.partitionBy("_cell").orderBy(F.xxhash64("_key", "_spread"), "_key", "_spread")).cast("long") - 1
     found = rows.withColumn("_rank", rank).join(F.broadcast(table), "_cell").where("_rank >= _from and _rank < _to")
-    return found.select(*[f"`{c}`" for c in df.columns if c not in (shard_col, slot_col)], F.col("_shard").alias(shard_col), (F.col("_slot") + F.col("_rank") - F.col("_from")).alias(slot_col))
+    return found.select(*(F.col(f"_row.`{c}`").alias(c) for c in kept), F.col("_shard").alias(shard_col), (F.col("_slot") + F.col("_rank") - F.col("_from")).alias(slot_col))

@@ -346,9 +346,6 @@ def _firsts(least: int):
     return run
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-
-
 def _marks(least: int, with_text: bool):
     """Pass 3: what is left of every document of a chunk."""
 
@@ -408,9 +405,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and takes nothing from others. Rows with one id take nothing from each other. ``text`` is the remaining bytes as
     UTF-8, without characters of which bytes were cut off. Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    given = [F.col(f"`{c}`").alias(f"_kept{i}") for i, c in enumerate(keep)]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *given)
     total = docs.select(F.sum(text_bytes(F.col("text")))).first()[0] or 0
-    shards = shards_for(total)
+    shards = shards_for(total, 4 << 20)
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-total // chunk_bytes)))).cast("long"))
     slim = docs.select("chunk", "doc_id", "text")
     sent = slim.groupBy("chunk").applyInArrow(_anchors(least, shards), "shard int, chunk long, block binary")
@@ -418,5 +416,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     strings = slim.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_strings(least, shards), "shard int, chunk long, block binary")
     firsts = stash(strings.groupBy("shard").applyInArrow(_firsts(least), "chunk long, block binary"), "firsts")
     kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["text string"] * with_text])
-    return docs.groupBy("chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(_marks(least, with_text), schema)
+    kept = "".join(f"_kept{i} {kinds[f'_kept{i}']}, " for i in range(len(keep)))
+    schema = f"doc_id long, {kept}n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
+    out = docs.groupBy("chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(_marks(least, with_text), schema)
+    return out.select("doc_id", *(F.col(f"_kept{i}").alias(c) for i, c in enumerate(keep)), *out.columns[1 + len(keep) :])

@@ -1,0 +1,405 @@
+import hashlib
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from compare import plain, same
+from conftest import SMALL
+from plain_versions import SCHEMA, components, frame, language_scores, rows, rule_counts, without_repeats
+from pyspark.sql import functions as F
+
+from spanlake.llm import queries as Q
+from spanlake.llm.bucket_packing import boundaries, pack_buckets
+from spanlake.llm.curriculum_mix import mix_sources, training_order
+from spanlake.llm.factorization_machine import fit_quality, score_quality
+from spanlake.llm.ivf_pq import nearest
+from spanlake.llm.jaccard_join import Bands, jaccard_components, signatures, sketch, sketch_gap
+from spanlake.llm.ngram_trie import EliasFano, TrieShard, score_documents
+from spanlake.llm.repair_tokens import Encoder, Shard, encode_shard, read_digests, write_tokens
+from spanlake.llm.ring_shards import place, ring, ring_shards
+from spanlake.llm.robust_outliers import chi2_cdf, chi2_quantile, robust_outliers
+from spanlake.llm.suffix_dedup import common_prefix_intervals, repeated_spans
+
+TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+ODD = [(i, t) for i, t, *_ in rows()]
+EMPTY = []
+
+
+def got(df, *columns):
+    return sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+
+
+# -- 1
+
+
+def test_grammar_round_trip():
+    rng = np.random.default_rng(0)
+    for ids in (np.zeros(0, np.uint32), np.array([7], np.uint32), np.full(5000, 3, np.uint32), rng.integers(0, 40, 30_000).astype(np.uint32), np.tile(rng.integers(0, 49_000, 300), 50).astype(np.uint32)):
+        lengths = np.array([len(ids) // 3, 0, len(ids) - len(ids) // 3])
+        shard = Shard(encode_shard(ids, lengths, 1 << 16))
+        assert (shard.ids() == ids).all()
+        assert (shard.document(2) == ids[len(ids) // 3 :]).all()
+        for a, b in ((0, 0), (1, min(17, len(ids))), (len(ids) // 2, len(ids))):
+            assert (shard.slice(a, b) == ids[a:b]).all()
+
+
+def test_grammar_shrinks_repetition():
+    ids = np.tile(np.arange(100, dtype=np.uint32), 200)
+    assert len(Shard(encode_shard(ids, np.array([len(ids)]), 1 << 16, rounds=12)).seq) < len(ids) / 10
+
+
+def test_encoder_equals_library():
+    texts = [t for _, t in ODD] + ["It's WE'LL it 's a.b ...! İstanbul ẞ ﬁn", "á été \x1c\x85x y", "'s 've"]
+    encoder = Encoder(TOKENIZER)
+    assert encoder.split
+    whole = encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == [e.ids for e in whole]
+
+
+def test_tokens_written_and_read(spark, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    write_tokens(frame(spark, extra=True), path, TOKENIZER, shard_tokens=500)
+    library = Encoder(TOKENIZER).tokenizer
+    start, want = 0, []
+    for i, t in sorted(ODD, key=lambda x: (-1 if x[0] is None else x[0])):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, len(ids), zlib.crc32(ids.tobytes())))
+    out = read_digests(spark, path)
+    assert got(out, "doc_id", "n_tokens", "ids_crc32") == sorted(want, key=repr)
+    places = sorted((r["start"], r["n_tokens"]) for r in out.collect())
+    for s, n in places:
+        assert s == start
+        start += n
+
+
+def test_tokens_of_no_documents(spark, tmp_path):
+    path = f"file://{tmp_path}/none"
+    write_tokens(frame(spark, EMPTY), path, TOKENIZER)
+    assert read_digests(spark, path).count() == 0
+
+
+# -- 2
+
+
+def test_ring_places_all_rows_evenly(spark):
+    df = ring_shards(frame(spark, extra=True), "doc_id", F.xxhash64("text"), shards=7)
+    r = df.collect()
+    assert len(r) == len(ODD)
+    per = Counter(x["shard"] for x in r)
+    assert max(per.values()) - min(per.values()) <= 1 and set(per) == set(range(7))
+    for s in per:
+        assert sorted(x["slot"] for x in r if x["shard"] == s) == list(range(per[s]))
+    assert got(df, "doc_id", "shard") == got(ring_shards(frame(spark).repartition(9), "doc_id", F.xxhash64("text"), shards=7), "doc_id", "shard")
+
+
+def test_ring_overflow_and_growth():
+    counts = {c * 16: (900 if c == 5 else 3) for c in range(0, 4096, 16)}  # one key holds more than half
+    for slack in (0.0, 0.1):
+        cuts = place(counts, 8, 64, slack)
+        total = sum(counts.values())
+        per = Counter()
+        for cell, a, b, s, slot in cuts:
+            assert b > a and slot == per[s]
+            per[s] += b - a
+        assert sum(per.values()) == total
+        assert max(per.values()) <= -(-total * (1 + slack) // 8) + (slack == 0)
+    assert [x for x in ring(9, 16) if x[1] < 8] == ring(8, 16)
+    even = {c: 2 for c in range(65536)}
+    owner = lambda n: {(c, i): s for c, a, b, s, _ in place(even, n, 64, 0.25) for i in range(a, b)}
+    old, new = owner(8), owner(9)
+    assert sum(old[k] != new[k] for k in old) < 0.3 * len(old)
+
+
+def test_ring_of_nothing(spark):
+    assert ring_shards(frame(spark, EMPTY), "doc_id", F.xxhash64("text")).count() == 0
+
+
+# -- 3
+
+
+def test_mix_equals_sql(spark, duck):
+    left, right = same(Q.op3_curriculum_mix(spark, SMALL), duck, Q.OP3_SQL)
+    assert left == right
+
+
+def test_mix_odd_documents(spark):
+    df = mix_sources(frame(spark, extra=True))
+    r = [x.asDict() for x in df.collect()]
+    assert len(r) == len(ODD)
+    size, goal, taken = Counter(), {}, Counter()
+    for x in r:
+        assert 0 <= x["taken"] <= 2 * x["size"] and (x["position"] is None or 0 <= x["position"] <= 1)
+        size[x["source"]] += x["size"]
+        taken[x["source"]] += x["taken"]
+        goal[x["source"]] = x["target"]
+    for s in size:
+        assert abs(taken[s] - goal[s]) <= 1 and goal[s] <= 2 * size[s]
+    assert abs(sum(goal.values()) - 1.5 * sum(size.values())) < 1e-6
+    assert got(df, "doc_id", "size", "taken") == got(mix_sources(frame(spark).repartition(7)), "doc_id", "size", "taken")
+    seq = training_order(mix_sources(frame(spark)), ["doc_id", "text"]).collect()
+    assert all(a["position"] <= b["position"] for a, b in zip(seq, seq[1:]))
+
+
+def test_curriculum_follows_ramps(spark):
+    """Sources rise, stay or fall over training time."""
+    data = [(i, "w " * 50, "en", "abc"[i % 3], 100) for i in range(900)]
+    r = mix_sources(frame(spark, data), share=0.9, weights=(1, 1, 1)).where("position is not null").groupBy("source").agg(F.avg("position").alias("m")).collect()
+    m = {x["source"]: x["m"] for x in r}
+    assert m["a"] > 0.55 > m["b"] > 0.45 > m["c"]
+
+
+def test_mix_of_nothing(spark):
+    assert mix_sources(frame(spark, EMPTY)).count() == 0
+    assert mix_sources(frame(spark, [(1, None, "en", None, None), (2, "", "en", "s", 0)])).agg(F.sum("taken")).first()[0] == 0
+
+
+# -- 4
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 10), (1, 10), (500, 1000), (3000, 1 << 50), (2000, 2001)):
+        x = np.unique(rng.integers(0, top, n).astype(np.uint64))
+        low, upper, lower = EliasFano.build(x, top)
+        seq = EliasFano(len(x), low, upper, lower)
+        probe = np.concatenate([x, rng.integers(0, top, 200).astype(np.uint64)])
+        at, hit = seq.find(probe)
+        assert (hit == np.isin(probe, x)).all()
+        assert (x[at[hit]] == probe[hit]).all()
+
+
+def test_trie_shard_mapped(tmp_path):
+    context, pointer = np.array([5, 9, 70], np.uint64), np.array([0, 2, 3, 5])
+    successor, count = np.array([1, 8, 3, 0, 9], np.uint64), np.array([3, 1, 4, 2, 2])
+    block = TrieShard.build(context, pointer, np.array([4, 4, 4]), successor, count)
+    (tmp_path / "t").write_bytes(block)
+    for trie in (TrieShard.open(block), TrieShard.open(str(tmp_path / "t"))):
+        rank, total = trie.context(np.array([9, 6, 70], np.uint64))
+        assert rank.tolist() == [1, -1, 2] and total.tolist() == [4, 0, 4]
+        codes = trie.codes(np.array([0, 0, 1, -1, 2]), np.array([1, 2, 3, 1, 9], np.uint64))
+        assert (codes > 0).tolist() == [True, False, True, False, True]
+
+
+def test_scores_equal_plain_model(spark):
+    out = score_documents(frame(spark, extra=True), chunk_bytes=4000)
+    mine = sorted(([r[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")] for r in out.collect()), key=lambda x: (repr(x[0]), x[2]))
+    for a, b in zip(mine, sorted(language_scores(ODD), key=lambda x: (repr(x[0]), x[2])), strict=True):
+        assert tuple(a[:5]) == b[:5]
+        assert a[5] == pytest.approx(b[5], rel=1e-9)
+        assert a[6] == pytest.approx(b[6], rel=0.03, abs=0.05)  # quantised to 8 bits
+    assert score_documents(frame(spark, EMPTY)).count() == 0
+
+
+# -- 5
+
+
+def test_bands_pigeonhole():
+    """Any two sets that link share a signature that is whole on one side."""
+    rng = np.random.default_rng(3)
+    bands, none = Bands(75, 100), np.zeros(0, np.uint64)
+    for n in [3, 4, 5, 6, 7, 8, 9, 12, 15, 20, 27, 40, 75, 150, 400]:
+        for _ in range(6):
+            universe = rng.integers(0, 1 << 63, 4 * n).astype(np.uint64) * np.uint64(2)
+            a = set(universe[:n].tolist())
+            b = set(a)
+            for x in universe[n:].tolist():
+                c = set(b)
+                if rng.random() < 0.5 and len(c) > 1:
+                    c.discard(next(iter(c)))
+                else:
+                    c.add(x)
+                if 100 * len(a & c) < 75 * len(a | c):
+                    break
+                b = c
+            if a == b:
+                continue
+            h = np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in (a, b)])
+            sig, who, whole = signatures(h, np.array([0, len(a), len(a) + len(b)]), bands, none)
+            one = {0: {}, 1: {}}
+            for s, w, f in zip(sig.tolist(), who.tolist(), whole.tolist()):
+                one[w][s] = one[w].get(s, False) or f
+            assert any(one[0][s] or one[1][s] for s in one[0].keys() & one[1].keys())
+            gap = sketch_gap(sketch(h[: len(a)]), sketch(h[len(a) :]))
+            assert gap <= len(a ^ b)
+
+
+def test_components_equal_brute_force(spark):
+    df = jaccard_components(frame(spark, extra=True))
+    assert got(df, "doc_id", "n_shingles", "component_id") == components(ODD)
+
+
+def test_chain_and_common_passage(spark):
+    """A chain of near copies is one component; a passage in all documents is none."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(200)]
+    passage = " ".join(f"p{i}" for i in range(60))
+    data = []
+    for k in range(12):
+        if k:
+            base = base[:]
+            for i in range(3):
+                base[(k * 16 + i * 5) % 200] = f"c{k}x{i}"
+        data.append((k, " ".join(base), "en", "s", 0))
+    data += [(100 + k, passage + " " + " ".join(f"q{rng.integers(1 << 30)}" for _ in range(200)), "en", "s", 0) for k in range(40)]
+    df = jaccard_components(frame(spark, data), common=50)
+    want = components([(i, t) for i, t, *_ in data])
+    assert len({c for i, _, c in want if i < 12}) == 1 and len({c for i, _, c in want if i >= 100}) == 40
+    assert got(df, "doc_id", "n_shingles", "component_id") == want
+
+
+def test_join_of_nothing(spark):
+    assert jaccard_components(frame(spark, EMPTY)).count() == 0
+
+
+# -- 6
+
+
+def test_rule_counts_and_verdicts(spark):
+    out = {}
+    for r in robust_outliers(frame(spark, extra=True)).collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    for i, t in ODD:
+        if i is not None:
+            n = rule_counts(t)
+            for r in out[i]:
+                assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == n
+                assert r["base_failed"] == (n[0] < 10 or 100 * n[4] > 20 * n[0])
+                assert not (r["base_failed"] and r["kept"])
+    assert robust_outliers(frame(spark, EMPTY)).count() == 0
+
+
+def test_outliers_go_clean_documents_stay(spark):
+    rng = np.random.default_rng(2)
+    clean = lambda: " ".join("".join(rng.choice(list("aeioustrn"), rng.integers(2, 9))) for _ in range(rng.integers(40, 400)))
+    data = [(i, clean(), "en", "s" if i % 3 else "t", 0) for i in range(400)]
+    junk = [(1000 + i, " ".join(w + "$$$" for w in clean().split(" ")), "en", "s", 0) for i in range(20)]
+    kept = {r["doc_id"]: r["kept"] for r in robust_outliers(frame(spark, data + junk)).collect()}
+    assert not any(kept[i] for i, *_ in junk)
+    assert sum(kept[i] for i, *_ in data) == len(data)
+
+
+def test_chi_square():
+    assert chi2_cdf(chi2_quantile(0.95, 5), 5) == pytest.approx(0.95)
+    assert chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
+
+
+# -- 7
+
+
+def test_nearest_recall_and_odd_vectors(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(12, 64))
+    x = centre[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 64)) * 0.8
+    x[700:1000] = x[700]  # one vector many times over
+    data = [(i, v.tolist(), "other") for i, v in enumerate(x)]
+    data += [(2000, None, ""), (2001, [0.0] * 64, ""), (2100, [1.0] * 63, ""), (2200, [float("nan")] * 64, ""), (2300, [None] * 64, ""), (None, x[1].tolist(), "")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, list string")
+    r = nearest(df, df.where("vec_id % 100 = 0"), lists=16, probes=8, cell_rows=100, cell_queries=4, parts=8).collect()
+    hit = total = 0
+    for q in range(0, 1500, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [int(i) for i in np.lexsort((np.arange(1500), d)) if i != q][:10]
+        mine = sorted((y["rank"], y["vec_id"], y["score"]) for y in r if y["query_id"] == q)
+        assert [m[0] for m in mine] == list(range(1, 11))
+        assert [(m[2], m[1]) for m in mine] == sorted((m[2], m[1]) for m in mine)
+        assert all(abs(d[m[1]] - m[2]) < 1e-12 for m in mine)
+        hit, total = hit + len(set(want) & {m[1] for m in mine}), total + 10
+        if 700 <= q < 1000:
+            assert [m[1] for m in mine] == want
+    assert hit / total >= 0.9
+    assert {y["query_id"] for y in r} == set(range(0, 1500, 100))
+
+
+def test_nearest_of_few(spark):
+    df = spark.createDataFrame([(i * 100, [float(i == j) + 0.1 for j in range(64)]) for i in range(4)], "vec_id long, embedding array<float>")
+    assert nearest(df, df).count() == 12
+    assert nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+# -- 8
+
+
+def test_classifier_separates_held_out(spark):
+    from pyspark.sql import Row
+
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = fit_quality(docs, labels)
+    r = score_quality(docs, model).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).collect()
+    good, bad = [x["score"] for x in r if x["quality"] == 1], [x["score"] for x in r if x["quality"] == 0]
+    assert not bad or sum(g > b for g in good for b in bad) >= 0.9 * len(good) * len(bad)
+    odd = score_quality(frame(spark, extra=True), model, score_col="p")
+    assert set(frame(spark, extra=True).columns) | {"p"} == set(odd.columns)
+    assert all(0 <= x["p"] <= 1 for x in odd.collect())
+    one = fit_quality(docs, labels.where("quality = 1"))
+    none = fit_quality(docs, spark.createDataFrame([Row(doc_id=None, quality=1)], "doc_id long, quality int"))
+    assert score_quality(docs, one).agg(F.min("score")).first()[0] > 0.9
+    assert score_quality(docs, none).agg(F.min("score")).first()[0] == pytest.approx(0.5)
+    assert score_quality(frame(spark, EMPTY), model).count() == 0
+
+
+# -- 9
+
+
+def test_prefix_intervals_equal_brute_force():
+    rng = np.random.default_rng(6)
+    for least, letters in ((9, 2), (12, 3), (50, 1)):
+        text = rng.integers(1, letters + 1, 900).astype(np.uint16)
+        text[[100, 350, 351, 899]] = 0
+        order, interval = common_prefix_intervals(text, least)
+        mine = {}
+        for place, g in enumerate(interval.tolist()):
+            if g >= 0:
+                mine.setdefault(g, set()).add(int(order[place]))
+        want = {}
+        for i in range(900 - least + 1):
+            w = text[i : i + least]
+            if (w > 0).all():
+                want.setdefault(w.tobytes(), set()).add(i)
+        assert sorted(map(sorted, mine.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_repeats_equal_brute_force(spark):
+    out = repeated_spans(frame(spark, extra=True), chunk_bytes=3000, with_text=True)
+    want = without_repeats(ODD)
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((i, n, r, s, hashlib.sha256(b).hexdigest()) for i, n, r, s, b in want), key=repr)
+    assert Counter(r["text"] for r in out.collect()) == Counter(b.decode("utf-8", "ignore") for *_, b in want)
+    assert repeated_spans(frame(spark, EMPTY)).count() == 0
+
+
+# -- 10
+
+
+def test_boundaries_are_optimal():
+    from itertools import combinations
+
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        h = {int(x): int(rng.integers(1, 30)) for x in rng.choice(60, rng.integers(1, 9), replace=False) + 1}
+        lengths = sorted(h)
+        cost = lambda tops: sum(c * min(t for t in tops if t >= x) for x, c in h.items())
+        for k in (1, 2, 3, 8):
+            best = min(cost((*c, lengths[-1])) for n in range(k) for c in combinations(lengths[:-1], min(n, len(lengths) - 1)))
+            assert cost(boundaries(h, k)) == best and len(boundaries(h, k)) <= k
+    assert boundaries({}, 4) == []
+
+
+def test_packing_keeps_all_words(spark):
+    out = pack_buckets(frame(spark, extra=True), longest=512, budget=2048, buckets=5)
+    r = [x.asDict() for x in out.collect()]
+    words = Counter()
+    for x in r:
+        words[x["doc_id"]] += x["n_words"]
+        assert x["n_words"] <= x["padded"] and x["batch_row"] < x["fill"] and x["fill"] * x["padded"] <= 2048
+    want = Counter()
+    for i, t in ODD:
+        want[i] += rule_counts(t)[0]
+    assert words == want
+    per = Counter((x["batch"], x["bucket"], x["padded"]) for x in r)
+    assert len({b for b, *_ in per}) == len(per) and sorted({b for b, *_ in per}) == list(range(len(per)))
+    assert len({(x["batch"], x["batch_row"]) for x in r}) == len(r)
+    part = Counter((x["bucket"]) for x in r if x["batch_row"] == 0)
+    for k in part:
+        fill = next(x["fill"] for x in r if x["bucket"] == k)
+        assert part[k] == -(-sum(x["bucket"] == k for x in r) // fill)
+    assert pack_buckets(frame(spark, EMPTY)).count() == 0

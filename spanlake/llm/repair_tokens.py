@@ -44,20 +44,12 @@ def _unpacked(raw: memoryview, at: int) -> tuple[np.ndarray, int]:
 
 
 def _which(pairs: np.ndarray, key: np.ndarray, bits: int = 17) -> np.ndarray:
-    """For each key its place among the ascending pairs, -1: none. One probe into a table; pairs that lost their slot are searched for."""
+    """For each key its place among the pairs, -1: none, by one probe into a table. Of pairs with one slot the last has it; the others wait for the next round."""
     slot = lambda x: (x * U(0x9E3779B97F4A7C15)) >> U(64 - bits)
-    table, at = np.full(1 << bits, len(pairs), np.int32), slot(pairs)
-    table[at] = np.arange(len(pairs), dtype=np.int32)
+    table = np.full(1 << bits, len(pairs), np.int32)
+    table[slot(pairs)] = np.arange(len(pairs), dtype=np.int32)
     out = table[slot(key)]
-    out = np.where(np.append(pairs, U((1 << 64) - 1))[out] == key, out, -1)
-    lost = np.flatnonzero(table[at] != np.arange(len(pairs)))
-    if len(lost):
-        rest = np.flatnonzero(out < 0)
-        place = np.searchsorted(pairs[lost], key[rest])
-        place[place == len(lost)] = 0
-        hit = pairs[lost][place] == key[rest]
-        out[rest[hit]] = lost[place[hit]]
-    return out
+    return np.where(np.append(pairs, U((1 << 64) - 1))[out] == key, out, -1)
 
 
 def grammar(seq: np.ndarray, base: int, rounds: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -109,7 +101,7 @@ def grammar(seq: np.ndarray, base: int, rounds: int, most: int, least: int) -> t
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), firsts
 
 
-def encode_shard(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 4, most: int = 8192, least: int = 8) -> bytes:
+def encode_shard(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 3, most: int = 8192, least: int = 8) -> bytes:
     """A shard's block: document lengths, round starts, rules, expansion lengths, final sequence."""
     seq, rules, firsts = grammar(ids, base, rounds, most, least)
     size = np.ones(base + len(rules), np.int64)
@@ -172,17 +164,30 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
+class _Pieces(dict):
+    """Ids of pieces; a piece that isn't there yet is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        super().__init__({"": b""})
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self[piece] = self.encode(piece)
+        return out
+
+
 class Encoder:
     """Ids of texts, as bytes of little-endian 32-bit numbers.
 
     A text is cut at spaces and line ends, at which the tokenizer cuts anyway, and every distinct piece is encoded once.
-    Of a piece of plain letters with marks behind, the letters and the marks are looked up on their own, and the
+    Of a piece of plain letters with marks around them, letters and marks are looked up on their own, and the
     library's model encodes the letters, without the machinery around it; whether that gives what the whole
     tokenizer gives is tried when it is opened, and pieces of other kinds go through the whole tokenizer.
     """
 
-    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|]*)").fullmatch
-    TRIALS = ("a", "Ab", "the", "Tion,", "word.", "It", "s", "re", "\u00e9t\u00e9", "ci\u00f3n;", "\u00c4rger", "stra\u00dfe:", "won|", "ll", "ve?!", "THEM")
+    #: Marks: ASCII punctuation but the apostrophe, which joins letters to contractions.
+    PLAIN = re.compile("([!-&(-/:-@\\[-`{-~]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+    TRIALS = ("a", "Ab", "the", "Tion,", "(word.", "It", "s", "re", "\u00e9t\u00e9", "ci\u00f3n;", "\u00c4rger", "stra\u00dfe:", "won|$$", "ll", "ve?!", "<THEM>", "#x")
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -190,42 +195,38 @@ class Encoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.known: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
         self.split = True
+        self._clear()
         try:
-            self.split = all(self._plain(self.PLAIN(w)) == self._whole([w])[0] for w in self.TRIALS)
+            self.split = all(self._piece(w) == self._whole(w) for w in self.TRIALS)
         except Exception:  # a model of another kind
             self.split = False
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.stems, self.marks = _Pieces(self._piece), _Pieces(self._stem), _Pieces(self._whole)
+
+    def _whole(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _whole(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _stem(self, stem: str) -> bytes:
+        letters = stem if stem.isascii() else "".join([self.letters[b] for b in stem.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
-    def _plain(self, found: re.Match) -> bytes:
-        stem, tail = found[1].lower(), found[2]
-        ids = self.stems.get(stem)
-        if ids is None:
-            letters = stem if stem.isascii() else "".join(self.letters[b] for b in stem.encode())
-            ids = self.stems[stem] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
-        if tail not in self.tails:
-            self.tails[tail] = self._whole([tail])[0]
-        return ids + self.tails[tail]
+    def _piece(self, piece: str) -> bytes:
+        if self.split:
+            if piece.isascii() and piece.isalpha():
+                return self.stems[piece.lower()]
+            if found := self.PLAIN(piece):
+                before, stem, after = found.groups()
+                return self.marks[before] + self.stems[stem.lower()] + self.marks[after]
+        return self._whole(piece)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        fresh = set(chain.from_iterable(pieces)).difference(self.known)
-        if len(self.known) + len(fresh) > self.most:
-            self.known, self.stems, self.tails = {"": b""}, {}, {"": b""}
-            fresh = set(chain.from_iterable(pieces)).difference(self.known)
-        odd = []
-        for p in fresh:
-            if self.split and (found := self.PLAIN(p)):
-                self.known[p] = self._plain(found)
-            else:
-                odd.append(p)
-        self.known.update(zip(odd, self._whole(odd), strict=True))
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        if len(self.known) > self.most:
+            self._clear()
+        get = self.known.__getitem__
+        return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
 
 #: One encoder a worker process and tokenizer: its pieces serve the tasks that follow.

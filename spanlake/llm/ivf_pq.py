@@ -120,7 +120,7 @@ def _search(model, top: int, rerank: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", dim: int = 64, top: int = 10, lists: int = 64, probes: int = 28, parts: int = 16, rerank: int = 100, sample: int = 16384, cell_rows: int = 16384, cell_queries: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", dim: int = 64, top: int = 10, lists: int = 64, probes: int = 44, parts: int = 16, rerank: int = 100, sample: int = 16384, cell_rows: int = 16384, cell_queries: int = 4096) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's ``top`` nearest of all vectors but its own id, by Euclidean distance.
 
     Ties go to the smaller id. Vectors that are null, zero, of another dimension or hold null or non-finite components,

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .shared import components, shards_for, stash, text_bytes
+from .shared import components, drop, shards_for, stash, text_bytes
 
 U = np.uint64
 
@@ -479,7 +479,9 @@ def _checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, b
     both = both.join(sets.select(F.col("key").alias("k2"), F.col("elements").alias("e2")), "k2")
     exact = stash(both.select("k1", "k2", "e1", "e2").mapInArrow(_verify(bands), "k1 long, k2 long, linked boolean, distance double"), "links")
     out = sifted.join(exact, ["k1", "k2"], "left")
-    return stash(out.select("k1", "k2", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("distance", "near").alias("near"), F.coalesce("distance", F.lit(1.0)).alias("far")), "checked")
+    out = stash(out.select("k1", "k2", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("distance", "near").alias("near"), F.coalesce("distance", F.lit(1.0)).alias("far")), "checked")
+    drop(sifted, sets, exact)
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 75, den: int = 100, common: int = 100_000, turns: int = 2) -> DataFrame:
@@ -522,6 +524,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tried = tried.unionByName(again)
         links = links.union(again.where("linked").select("k1", "k2"))
         comp = stash(components(links), "comps")
+    drop(groups, asked, members)
     named = classes.join(comp.withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("component", F.coalesce("component", "class_key"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     lookup = named.join(least, "component").select("class_key", "component_id")

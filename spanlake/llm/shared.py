@@ -29,15 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The folder goes when the application ends.
+    The folder goes when the application ends, or with ``drop``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanlake-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    files, hadoop = _hadoop(spark, path)
+    files.deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def drop(*stashed: DataFrame) -> None:
+    """Delete what ``stash`` wrote, once nothing lazy reads it any more."""
+    for df in stashed:
+        files, hadoop = _hadoop(df.sparkSession, df._stashed)
+        files.delete(hadoop, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
 def text_bytes(col: Column) -> Column:
@@ -72,7 +85,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         least = big.groupBy("u").agg(F.min("v").alias("m"))
         joined = big.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = stash(small, "cc")
+        before, e = e, stash(small, "cc")
+        drop(before)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if last == tuple(now):
             break

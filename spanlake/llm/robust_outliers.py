@@ -98,13 +98,14 @@ def _distance():
     return total
 
 
-def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", core: float = 0.75, steps: int = 4, quantile: float = 0.99999, least_group: int = 50) -> DataFrame:
+def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", core: float = 0.75, steps: int = 4, quantile: float = 0.99999, least_group: int = 50, most_broadcast: int = 20_000) -> DataFrame:
     """Per document its counts, base_failed, distance (squared; null if base_failed) and kept.
 
     Null language or source is a value of its own. Groups of fewer than ``least_group`` documents are judged with the
     others of their language, or of all, that are in such groups; where even those are fewer, nothing is rejected.
     Null and empty texts have no words and fail the base rule. Repeated rows count as often as they stand. Documents
-    that fail the base rule take no part in the estimates. Other columns are not read.
+    that fail the base rule take no part in the estimates. Estimates of up to ``most_broadcast`` groups are broadcast
+    (a few hundred bytes each), those of more are joined. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, lang string, source string, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, " + ", ".join(f"x{d} double" for d in range(DIM))
@@ -119,22 +120,27 @@ def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mid = small.groupBy("_l").agg(F.sum("count").alias("all_l"))
     names = per.join(mid, "_l", "left").withColumn("g", F.when(F.col("count") >= least_group, F.concat_ws("\x01", "_l", "_s")).when(F.col("all_l") >= least_group, F.col("_l")).otherwise(F.lit("*")))
     names = stash(names.select("_l", "_s", "g"), "names")
-    x = stash(good.join(names, ["_l", "_s"]).select("g", *(f"x{d}" for d in range(DIM))), "vectors")
+    few = names.count() <= most_broadcast
+
+    def lookup(df: DataFrame) -> DataFrame:
+        """A row or so a group: sent to the rows, which then stay where they are, if the groups are few enough."""
+        return F.broadcast(df) if few else df
+
+    x = stash(good.join(lookup(names), ["_l", "_s"]).select("g", *(f"x{d}" for d in range(DIM))), "vectors")
     quartiles = x.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(f"x{d}", [0.25, 0.5, 0.75], 1000).alias(f"q{d}") for d in range(DIM)))
     spread = [F.greatest((F.element_at(f"q{d}", 3) - F.element_at(f"q{d}", 1)) / 1.349, F.lit(FLOOR[d])) for d in range(DIM)]
     est = quartiles.select("g", F.array(*(F.element_at(f"q{d}", 2) for d in range(DIM))).alias("m"), F.array(*((1 / (spread[i] * spread[i]) if i == j else F.lit(0.0)) for i in range(DIM) for j in range(DIM))).alias("p"), "n")
-    sizes = est.select("g", "n")
     est = stash(est, "estimate")
     sizes = est.select("g", "n")
     scale = core / chi2_cdf(chi2_quantile(core, DIM), DIM + 2)
     for _ in range(steps):
-        d = x.join(est.select("g", "m", "p"), "g").withColumn("d2", _distance())
+        d = x.join(lookup(est.select("g", "m", "p")), "g").withColumn("d2", _distance())
         edge = d.groupBy("g").agg(F.percentile_approx("d2", core, 1000).alias("edge"))
-        near = d.join(edge, "g").where("d2 <= edge")
+        near = d.join(lookup(edge), "g").where("d2 <= edge")
         moments = near.groupBy("g").agg(F.count("*").alias("n"), F.array(*(F.sum(f"x{i}") for i in range(DIM))).alias("s"), F.array(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(DIM) for j in range(i, DIM))).alias("ss"))
         est = stash(moments.mapInPandas(lambda it, scale=scale: _solve(it, scale), "g string, m array<double>, p array<double>"), "estimate")
     final = names.join(est.join(sizes, "g"), "g")
-    out = rows.join(final, ["_l", "_s"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    out = rows.join(lookup(final), ["_l", "_s"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     cut = chi2_quantile(quantile, DIM)
     kept = ~F.col("base_failed") & ((F.col("n") < least_group) | (F.col("distance") <= cut) | F.col("distance").isNull())
     return out.select("doc_id", *COUNTS, "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), "distance")

@@ -61,12 +61,30 @@ def closure(edges: DataFrame, roots: DataFrame, most_hops: int = 64) -> DataFram
 
 
 def common_words(words: DataFrame, common: int, frequent: int, rare: int, seed: int = 42) -> DataFrame:
-    """(no, word): the first ``common`` words of the seeded order ``frequent`` times, all others ``rare`` times, shuffled and numbered from 1."""
-    top = words.orderBy(shuffled(F.col("word"), seed), "word").limit(common).select("word", F.lit(frequent).alias("_times"))
-    rest = words.select("word").join(top, "word", "left_anti").select("word", F.lit(rare).alias("_times"))
-    rows = top.unionByName(rest).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    order = Window.orderBy(shuffled(F.concat_ws("/", "word", F.col("_copy").cast("string")), seed), "word")
-    return rows.select(F.row_number().over(order).alias("no"), "word")
+    """(sample, no, word) from distinct (sample, word): of each sample the first ``common`` words of the seeded order
+    ``frequent`` times, all others ``rare`` times, shuffled and numbered from 1. A sample is one prompt."""
+    key = F.concat_ws("/", F.col("sample").cast("string"), "word")
+    top = F.row_number().over(Window.partitionBy("sample").orderBy(shuffled(key, seed), "word"))
+    rows = words.select("sample", "word", F.when(top <= common, frequent).otherwise(rare).alias("_times"))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    place = shuffled(F.concat_ws("/", F.col("sample").cast("string"), "word", F.col("_copy").cast("string")), seed)
+    return rows.select("sample", F.row_number().over(Window.partitionBy("sample").orderBy(place, "word")).alias("no"), "word")
+
+
+def joined_corpus(texts: DataFrame, order: list[str], separator: int = 2) -> DataFrame:
+    """Texts one after the other as one corpus: each row with its number and the character at which it starts.
+
+    Only totals of sorted ranges pass through one task; the corpus itself never becomes one value.
+    """
+    ranged = texts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    size = F.length("text").cast("long") + separator
+    total = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(size).alias("_c"))
+    ends = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = total.select("_part", (F.sum("_n").over(ends) - F.col("_n")).alias("_n0"), (F.sum("_c").over(ends) - F.col("_c")).alias("_c0"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.withColumns({"_i": F.row_number().over(inside) - 1, "_e": F.sum(size).over(upto) - size}).join(F.broadcast(starts), "_part")
+    return rows.select(*texts.columns, (F.col("_n0") + F.col("_i")).alias("number"), (F.col("_c0") + F.col("_e")).alias("start"))
 
 
 def zeta_counts(spark: SparkSession, total: int, alpha: float, vocabulary: int, zeta: float) -> DataFrame:

@@ -49,13 +49,13 @@ def attention_tiled_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(A.attend_tiled(kv, _queries(kv), DIM, SCALE, F.floor(F.col("token_pos") / 16)), "head")
 
 
-CAUSAL = "select e.label as head, q.vec_id as q_pos, e.embedding as key, list_dot_product(q.embedding::double[], e.embedding::double[]) * 0.125::double as z from embeddings e join embeddings q on q.label = e.label and e.vec_id <= q.vec_id where q.vec_id < 200"
+CAUSAL = "select e.label as head, q.vec_id as q_pos, e.embedding as key, list_dot_product(q.embedding::double[], e.embedding::double[]) * 0.125::double as z from embeddings e join embeddings q on q.label = e.label and e.vec_id <= q.vec_id"
 
 
 @query(_sql(CAUSAL, "head, q_pos"))
 def attention_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
     kv = _kv(spark, sf_dir)
-    q = kv.where("token_pos < 200").select("head", F.col("token_pos").alias("q_pos"), F.col("key").alias("query"))
+    q = kv.select("head", F.col("token_pos").alias("q_pos"), F.col("key").alias("query"))
     return _rows(A.attend_causal(kv, q, DIM, SCALE), "head", "q_pos")
 
 
@@ -63,8 +63,8 @@ def attention_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attention_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries in two chunks, each over its key prefix: row by row the same as in one."""
     kv = _kv(spark, sf_dir)
-    q = kv.where("token_pos < 200").select("head", F.col("token_pos").alias("q_pos"), F.col("key").alias("query"))
-    parts = [A.attend_causal(kv.where(F.col("token_pos") <= b), q.where((F.col("q_pos") >= a) & (F.col("q_pos") <= b)), DIM, SCALE) for a, b in ((0, 99), (100, 199))]
+    q = kv.select("head", F.col("token_pos").alias("q_pos"), F.col("key").alias("query"))
+    parts = [A.attend_causal(kv.where(F.col("token_pos") <= b), q.where((F.col("q_pos") >= a) & (F.col("q_pos") <= b)), DIM, SCALE) for a, b in ((0, 255), (256, 1 << 62))]
     return _rows(parts[0].unionByName(parts[1]), "head", "q_pos")
 
 

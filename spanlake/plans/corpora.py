@@ -26,15 +26,14 @@ def cwe_topwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.explode(T.words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 
-@query(f"""with w as (select distinct unnest({WORDS}) as word from documents where doc_id % 50 = 0 and lang = 'en'),
-o as (select word, row_number() over (order by md5('42:' || word), word) as r from w),
-c as (select word, unnest(range(1, case when r <= 10 then 31 else 4 end)) as copy from o)
-select row_number() over (order by md5('42:' || word || '/' || copy), word) as no, word from c""")
+@query(f"""with w as (select distinct doc_id as sample, unnest({WORDS}) as word from documents),
+o as (select sample, word, row_number() over (partition by sample order by md5('42:' || sample || '/' || word), word) as r from w),
+c as (select sample, word, unnest(range(1, case when r <= 10 then 4 else 2 end)) as copy from o)
+select sample, row_number() over (partition by sample order by md5('42:' || sample || '/' || word || '/' || copy), word) as no, word from c""")
 def cwe_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten words thirty times, all others three times, numbered in seeded order."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 50 = 0 and lang = 'en'")
-    vocabulary = docs.select(F.explode(T.words("text")).alias("word")).distinct()
-    return G.common_words(vocabulary, 10, 30, 3).select(F.col("no").cast("long").alias("no"), "word")
+    """Of each document's words ten stand three times, all others once, numbered in seeded order."""
+    vocabulary = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample"), F.explode(F.array_distinct(T.words("text"))).alias("word"))
+    return G.common_words(vocabulary, 10, 3, 1).select("sample", F.col("no").cast("long").alias("no"), "word")
 
 
 @query("select k as rank, floor(50000 * power(k::double, -2.0) / 1.6449340668482264)::bigint as n from (select unnest(range(1, 201)) as k)")
@@ -52,36 +51,36 @@ def vt_chain_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.closure(lines.select("var", "source"), lines.where("hop = 0").select("var"))
 
 
-@query("""with k as (select doc_id as sample, 'key' || doc_id as key from documents where doc_id % 100 = 0)
+@query("""with k as (select doc_id as sample, 'key' || doc_id as key from documents)
 select sample, key, v::int as value_no, (1000000 + ('0x' || substr(md5('42:' || sample || '/' || key || '/' || v), 1, 12))::bigint % 9000000)::varchar as value
 from k, (select unnest(range(0, 4)) as v)""")
 def niah_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("sample"), F.concat(F.lit("key"), F.col("doc_id").cast("string")).alias("key"))
+    keys = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample"), F.concat(F.lit("key"), F.col("doc_id").cast("string")).alias("key"))
     return G.needles(keys, 4).select("sample", "key", "value_no", "value")
 
 
 SENTENCES = r"list_filter(list_transform(string_split_regex(text, '[.\n]+'), lambda x: trim(x)), lambda x: x <> '')"
 
 
-@query(f"""with k as (select doc_id as sample, 'key' || doc_id as key from documents where doc_id % 100 = 0),
+@query(f"""with k as (select doc_id as sample, 'key' || doc_id as key from documents),
 v as (select sample, (1000000 + ('0x' || substr(md5('42:' || sample || '/' || key || '/0'), 1, 12))::bigint % 9000000)::varchar as value, key from k),
 h as (select sample, value, 'One of the special magic numbers for ' || key || ' is: ' || value || '.' as sentence from v),
-d as (select doc_id as sample, {SENTENCES} as s from documents where doc_id % 100 = 0),
+d as (select doc_id as sample, {SENTENCES} as s from documents),
 u as (select sample, unnest(s) as sentence, generate_subscripts(s, 1) - 1 as pos from d), n as (select sample, count(*) as n from u group by sample),
 p as (select h.sample, floor(round((('0x' || substr(md5('42:' || h.sample || '/' || sentence), 1, 8))::bigint % 40) * 100 / 39.0::double) * n / 100.0::double)::bigint as pos, 0 as kind, sentence, value from h join n using (sample)),
 e as (select * from p union all select sample, pos, 1, sentence, null from u where sample in (select sample from p))
 select sample, string_agg(sentence, ' ' order by pos, kind, sentence) as input, list(value order by value) filter (kind = 0) as outputs from e group by sample""")
 def niah_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Needles between the sentences of documents."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 100 = 0")
+    docs = table(spark, sf_dir, "documents")
     keys = docs.select(F.col("doc_id").alias("sample"), F.concat(F.lit("key"), F.col("doc_id").cast("string")).alias("key"))
     parts = F.filter(F.transform(F.split("text", r"[.\n]+"), lambda x: F.trim(x)), lambda x: x != "")
     sentences = docs.select(F.col("doc_id").alias("sample"), F.posexplode(parts).alias("pos", "sentence"))
     return G.haystack(sentences, G.needles(keys))
 
 
-@query("""with d as (select text, row_number() over (order by text) - 1 as doc_idx from (select distinct text from documents where doc_id % 4 = 0)), t as (select count(*) as total from d),
-q as (select item_id as q, item_id % total as gold from benchmark, t where item_id < 20),
+@query("""with d as (select text, row_number() over (order by text) - 1 as doc_idx from (select distinct text from documents)), t as (select count(*) as total from d),
+q as (select item_id as q, item_id % total as gold from benchmark, t),
 c as (select distinct q, ('0x' || substr(md5('42:' || q || '/' || i), 1, 12))::bigint % total as doc_idx from q, t, (select unnest(range(1, 33)) as i)),
 e as (select q, gold as doc_idx, true as gold from q union all select q, doc_idx, false from c where (q, doc_idx) not in (select (q, gold) from q)),
 f as (select *, row_number() over (partition by q order by gold desc, md5('42:' || q || '/' || doc_idx)) as n from e)
@@ -89,9 +88,9 @@ select q, row_number() over (partition by q order by md5('43:' || q || '-' || do
 def qa_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.sources.questions import numbered
 
-    docs = numbered(table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select("text"))
+    docs = numbered(table(spark, sf_dir, "documents").select("text"))
     total = docs.agg(F.count("*").alias("_t"))
-    questions = table(spark, sf_dir, "benchmark").where("item_id < 20").crossJoin(F.broadcast(total)).select(F.col("item_id").alias("q"), F.array(F.col("item_id") % F.col("_t")).alias("context"))
+    questions = table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(total)).select(F.col("item_id").alias("q"), F.array(F.col("item_id") % F.col("_t")).alias("context"))
     return G.with_distractors(questions, docs, 8).select("q", F.col("place").cast("long").alias("place"), "doc_idx", "gold")
 
 
@@ -106,17 +105,16 @@ def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.chunk_sizes(spark, 500, 7)
 
 
-REFS = "list_transform(string_split(text, ' ')[1:3], lambda w: w)"
-
-
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as predictions for the first three words of the benchmark item of the same number modulo 40."""
-    b = table(spark, sf_dir, "benchmark").where("item_id < 40").select(F.col("item_id").alias("k"), F.slice(F.split("text", " "), 1, 3).alias("outputs"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", (F.col("doc_id") % 40).alias("k"))
-    return d.join(F.broadcast(b), "k").select(F.col("doc_id").alias("index"), F.col("lang").alias("task"), F.col("text").alias("pred"), "outputs")
+    """Documents as predictions for the first three words of a benchmark item: that of the same number, modulo their count."""
+    b = table(spark, sf_dir, "benchmark")
+    n = b.agg(F.count("*").alias("n"))
+    b = b.select(F.col("item_id").alias("k"), F.slice(F.split("text", " "), 1, 3).alias("outputs"))
+    d = table(spark, sf_dir, "documents").crossJoin(F.broadcast(n)).select("doc_id", "lang", "text", (F.col("doc_id") % F.col("n")).alias("k"))
+    return d.join(b, "k").select(F.col("doc_id").alias("index"), F.col("lang").alias("task"), F.col("text").alias("pred"), "outputs")
 
 
-PRED = r"""p as (select d.doc_id as "index", d.lang as task, lower(regexp_replace(regexp_replace(trim(d.text), '[\x00-\x1F]', chr(10), 'g'), '^\s+|\s+$', '', 'g')) as pred, string_split(b.text, ' ')[1:3] as refs from documents d join benchmark b on b.item_id = d.doc_id % 40)"""
+PRED = r"""p as (select d.doc_id as "index", d.lang as task, lower(regexp_replace(regexp_replace(trim(d.text), '[\x00-\x1F]', chr(10), 'g'), '^\s+|\s+$', '', 'g')) as pred, string_split(b.text, ' ')[1:3] as refs from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark))"""
 
 
 @query(f"""with {PRED} select task, round(avg(len(list_filter(refs, lambda r: contains(pred, lower(r))))::double / len(refs)) * 100, 2) as score, sum(case when pred = '' then 1 else 0 end)::bigint || '/' || count(*) as nulls from p group by task""")
@@ -135,20 +133,20 @@ def null_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.col("lang").alias("task")).agg(F.concat_ws("/", F.sum((F.length(F.trim("text")) == 0).cast("long")), F.count("*")).alias("nulls"))
 
 
-@query(r"""with p as (select doc_id, (case when doc_id % 3 = 0 then ': ' when doc_id % 3 = 1 then ':' else '' end) || substr(text, 1, 60) || (case when doc_id % 2 = 0 then '. ' else '' end) as x from documents)
+@query(r"""with p as (select doc_id, (case when doc_id % 3 = 0 then ': ' when doc_id % 3 = 1 then ':' else '' end) || text || (case when doc_id % 2 = 0 then '. ' else '' end) as x from documents)
 select doc_id, case when starts_with(x, ':') then regexp_replace(regexp_replace(regexp_replace(x, '^: ?', ''), '^\s+|\s+$', '', 'g'), '\.+$', '') else x end as pred from p""")
 def postprocess_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     head = F.when(F.col("doc_id") % 3 == 0, ": ").when(F.col("doc_id") % 3 == 1, ":").otherwise("")
-    x = F.concat(head, F.substring("text", 1, 60), F.when(F.col("doc_id") % 2 == 0, ". ").otherwise(""))
+    x = F.concat(head, F.col("text"), F.when(F.col("doc_id") % 2 == 0, ". ").otherwise(""))
     return d.select("doc_id", T.clean_prediction(x).alias("pred"))
 
 
-@query("""with p as (select doc_id, repeat('<|begin_of_text|>', (doc_id % 3)::int) || substr(text, 1, 40) as x from documents)
+@query("""with p as (select doc_id, repeat('<|begin_of_text|>', (doc_id % 3)::int) || text as x from documents)
 select doc_id, case when doc_id % 3 > 1 then '<|begin_of_text|>' || string_split(x, '<|begin_of_text|>')[-1] else x end as fixed from p""")
 def fix_begin_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    x = F.concat(F.repeat(F.lit(T.BEGIN_TOKEN), (F.col("doc_id") % 3).cast("int")), F.substring("text", 1, 40))
+    x = F.concat(F.repeat(F.lit(T.BEGIN_TOKEN), (F.col("doc_id") % 3).cast("int")), F.col("text"))
     return d.select("doc_id", T.one_begin(x).alias("fixed"))
 
 
@@ -203,8 +201,8 @@ def submission_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("""select string_agg(t, chr(10) || chr(10) order by url) as corpus_tail, count(*) as pages from (select url, substr(html, 1, 20) as t from pages where page_id % 10 = 0)""")
+@query("""select page_id, row_number() over (order by url, page_id) - 1 as number, (sum(length(html) + 2) over (order by url, page_id rows between unbounded preceding and current row) - length(html) - 2)::bigint as start from pages""")
 def crawl_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages joined in order of their names: one corpus text, by definition a single value."""
-    p = table(spark, sf_dir, "pages").where("page_id % 10 = 0").select(F.struct("url", F.substring("html", 1, 20).alias("t")).alias("r"))
-    return p.agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["t"]), "\n\n").alias("corpus_tail"), F.count("*").alias("pages"))
+    """Pages joined in order of their names: where each stands in the corpus."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("text"))
+    return G.joined_corpus(p, ["url", "page_id"]).select("page_id", "number", "start")

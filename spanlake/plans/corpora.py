@@ -206,3 +206,25 @@ def crawl_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages joined in order of their names: where each stands in the corpus."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("text"))
     return G.joined_corpus(p, ["url", "page_id"]).select("page_id", "number", "start")
+
+
+@query("select doc_id, lang, row_number() over (partition by lang order by md5('42:' || doc_id), doc_id) as place from documents")
+def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("lang").orderBy(G.shuffled(F.col("doc_id"), 42), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("select row_number() over (order by text) - 1 as doc_idx, length(text) as n_chars from (select distinct text from documents)")
+def distinct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct texts in order, numbered from 0, by sorted ranges."""
+    from spanlake.sources.questions import numbered
+
+    return numbered(table(spark, sf_dir, "documents").select("text")).select("doc_idx", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(r"""with d as (select doc_id, source, text, list_filter(list_transform(string_split_regex(text, '[.\n]+'), lambda x: trim(x)), lambda x: x <> '') as s from documents)
+select doc_id, len(s) as sentences, list_max(list_transform(s, lambda x: length(x))) as longest from d""")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.filter(F.transform(F.split("text", r"[.\n]+"), lambda x: F.trim(x)), lambda x: x != "")
+    d = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_max(F.transform("s", lambda x: F.length(x).cast("long"))).alias("longest"))

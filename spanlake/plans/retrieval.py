@@ -180,3 +180,72 @@ def recall_at_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
         row = exact.join(sel, ["qid", "label"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall")).select(F.lit(share).alias("budget"), "recall")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+PARTS = f"""with {SCORED}, n as (select count(*) as n from embeddings),
+steady as (select vec_id as token_pos, 0 as s, 0 as rank from embeddings, n where vec_id < 32 or vec_id >= n - 64),
+got as (select vec_id as token_pos, case when label % 2 = 0 then 1 else 2 end as s, rank from embeddings, n, selected where label = cluster_id and not (vec_id < 32 or vec_id >= n - 64))"""
+
+
+@query(f"{PARTS} select token_pos, case s when 1 then 'miss' else 'hit' end as source, row_number() over (order by s, token_pos) - 1 as dst_pos from got")
+def gather_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile mode: missed tokens, then cached ones, without the steady zone."""
+    rows = gather_concat(spark, sf_dir).where("source <> 'steady'").select(F.lit(0).alias("head"), "token_pos", "source")
+    parts = [(k, rows.where(F.col("source") == k).select("head", "token_pos")) for k in ("miss", "hit")]
+    return R.concat_sources(parts).select("token_pos", "source", "dst_pos")
+
+
+@query(f"{PARTS}, every as (select * from steady union all select * from got) select token_pos, dst_pos from (select token_pos, row_number() over (order by least(s, 1), rank, token_pos) - 1 as dst_pos from every) where dst_pos < 150")
+def gather_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steady tokens, then those of the selected clusters in order of rank, as far as the buffer reaches."""
+    e = table(spark, sf_dir, "embeddings")
+    n = e.agg(F.count("*").alias("n"))
+    rows = e.crossJoin(F.broadcast(n)).select(F.lit(0).alias("head"), F.col("vec_id").alias("token_pos"), F.col("label").alias("cluster_id"), ((F.col("vec_id") < 32) | (F.col("vec_id") >= F.col("n") - 64)).alias("steady"))
+    got = rows.where("not steady").join(selected(spark, sf_dir).select("cluster_id", "rank"), "cluster_id").select("head", "token_pos", F.struct("rank", "token_pos").alias("at"))
+    parts = [("steady", rows.where("steady").select("head", "token_pos", F.struct(F.lit(0).alias("rank"), "token_pos").alias("at"))), ("clusters", got)]
+    return R.concat_sources(parts, order="at", most=150).select("token_pos", "dst_pos")
+
+
+@query("select label as cluster_id, count(*) as size, ceil(count(*) / 8.0)::bigint as pages from embeddings group by label having ceil(count(*) / 8.0) <= 6")
+def oversize_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-empty clusters that fit a page buffer."""
+    c = label_clusters(spark, sf_dir).where("size > 0").withColumn("pages", R.page_count("size"))
+    return c.where("pages <= 6").select("cluster_id", "size", "pages")
+
+
+@query("select min(n) as shortest, max(n) as longest, round(avg(n), 6) as mean from (select count(*) as n from embeddings group by label)")
+def valid_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = tokens(spark, sf_dir).groupBy("head").agg(F.count("*").alias("n"))
+    return n.agg(F.min("n").alias("shortest"), F.max("n").alias("longest"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+@query("""with s as (select conv_id, min(turn) filter (role <> 'system') as start from conversations group by conv_id)
+select c.conv_id as seq, c.turn - s.start as token_pos, c.role from conversations c join s on c.conv_id = s.conv_id where c.turn >= s.start""")
+def padding_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left padding of each sequence goes (here: system turns in front), positions start at 0."""
+    c = table(spark, sf_dir, "conversations")
+    start = c.where("role <> 'system'").groupBy("conv_id").agg(F.min("turn").alias("start"))
+    return c.join(start, "conv_id").where("turn >= start").select(F.col("conv_id").alias("seq"), (F.col("turn") - F.col("start")).alias("token_pos"), "role")
+
+
+@query("""select label as head, vec_id as token_pos, 'prefill' as source from embeddings union all select label, max(vec_id) + 1, 'decode' from embeddings group by label""")
+def kv_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One decoded token after the last of each head."""
+    t = tokens(spark, sf_dir).select("head", "token_pos")
+    fresh = t.groupBy("head").agg((F.max("token_pos") + 1).alias("token_pos"))
+    return t.withColumn("source", F.lit("prefill")).unionByName(fresh.withColumn("source", F.lit("decode")))
+
+
+@query("""with e as (select label as head, vec_id, embedding from embeddings), q as (select * from e where vec_id % 20 = 0),
+z as (select q.head, q.vec_id as query_id, e.vec_id as token_pos, list_dot_product(q.embedding::double[], e.embedding::double[]) * 0.125::double as z from q join e using (head)),
+w as (select *, exp(z - max(z) over (partition by query_id)) as w from z)
+select query_id, token_pos, round(w / sum(w) over (partition by query_id), 6) as weight from w""")
+def gemm_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a query set against their heads' keys, normalised by row: maximum, sum of exponentials, division."""
+    t = tokens(spark, sf_dir)
+    q = t.where("token_pos % 20 = 0").select("head", F.col("token_pos").alias("query_id"), F.col("key").alias("query"))
+    z = t.join(q, "head").withColumn("z", dot("key", "query") * F.lit(0.125)).select("query_id", "token_pos", "z")
+    m = z.groupBy("query_id").agg(F.max("z").alias("m"))
+    w = z.join(m, "query_id").withColumn("w", F.exp(F.col("z") - F.col("m")))
+    total = w.groupBy("query_id").agg(F.sum("w").alias("total"))
+    return w.join(total, "query_id").select("query_id", "token_pos", F.round(F.col("w") / F.col("total"), 6).alias("weight"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.session import shipped
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -17,7 +19,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register the function under its name; without ``sql`` only its rows are checked."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = shipped(f)
         if sql:
             SQL[f.__name__] = sql
         return f

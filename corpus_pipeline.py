@@ -16,6 +16,7 @@ from spanlake.llm.factorization_machine import fit_quality, score_quality
 from spanlake.llm.jaccard_join import jaccard_components
 from spanlake.llm.shared import stash
 from spanlake.llm.suffix_dedup import repeated_spans
+from spanlake.session import shipped
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_buckets(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixed", mixed), ("packed", packed)]
+STAGES = [(f.__name__, shipped(f)) for f in (quality, near_duplicates, repeated_passages, mixed, packed)]
 
 #: The stages' models, links and byte spans have no SQL; they are tested against plain versions in tests/llm.
 ORACLE_SQL = None

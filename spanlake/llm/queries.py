@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.session import shipped
+
 from .bucket_packing import pack_buckets
 from .curriculum_mix import mix_sources
 from .factorization_machine import fit_quality, held_out, score_quality
@@ -115,7 +117,7 @@ ALL = (op1_repair_tokens, op2_ring_shards, op3_curriculum_mix, op4_ngram_trie, o
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: shipped(f) for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,12 +11,18 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = os.path.dirname(os.path.abspath(__file__))
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors' Python workers, once an application, whatever their PYTHONPATH is."""
+    """Send the package to the executors' Python workers, once an application, whatever their PYTHONPATH is.
+
+    Where the session has Spark's default of 10000 rows an Arrow batch, it gets 2000: whole texts are large rows.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
     if getattr(sc, "_spanlake_shipped", None):
         return
     folder = tempfile.mkdtemp(prefix="spanlake-code-")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,15 @@ _LOWER[65:91] += 32
 _POW: dict[str, np.ndarray] = {}
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: 0)
+
+
+def release() -> None:
+    """Give free memory back to the system: Python workers live on from task to task, beside others."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective)."""
     x = x.astype(U, copy=True)

@@ -106,6 +106,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, rank: int
 def _features(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            B.release()
             buf, off = B.column(batch, "text")
             for i, j in B.slices(off):
                 idx, val, at = features(buf[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -120,6 +121,7 @@ def _features(keep: list[str]):
 def _scores(model, keep: list[str], score_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            B.release()
             buf, off = B.column(batch, "__text")
             for i, j in B.slices(off):
                 z = logits(model.value, *features(buf[off[i] : off[j]], off[i : j + 1] - off[i]))

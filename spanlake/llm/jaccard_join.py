@@ -103,6 +103,7 @@ def folded(x: np.ndarray, width: int) -> np.ndarray:
 def _classes(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            B.release()
             n, key, body = [], [], []
             for _, _, h, at in sets_of(batch, size):
                 n.append(np.diff(at))
@@ -119,6 +120,7 @@ def _common(size: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            B.release()
             every = [h for _, _, h, _ in sets_of(batch, size)]
             if every:
                 s = np.concatenate(every)
@@ -212,6 +214,7 @@ def _emit(size: int, bands: Bands, shards: int, common):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            B.release()
             keys, sizes, got = [], [], []
             base = 0
             for _, _, h, at in sets_of(batch, size):
@@ -292,6 +295,7 @@ def _regroup(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
     """(members per group, classes, whole, sizes) of signatures that several classes have, at least one of them whole."""
+    B.release()
     sig, cls, whole, n = [], [], [], []
     for batch in batches:
         for block in batch.column("block"):
@@ -342,6 +346,7 @@ def _pivots(count: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _stars(bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            B.release()
             for shard, block in zip(batch.column("shard").to_pylist(), batch.column("block"), strict=True):
                 count, cls, whole, n = B.unpack(block.as_py())
                 pivot, group = _pivots(count, whole)
@@ -367,6 +372,7 @@ def _next(bands: Bands, turn: int | None):
     """
 
     def run(groups: pa.Table, known: pa.Table) -> pa.Table:
+        B.release()
         pairs = [np.zeros((0, 2), U)]
         k = np.stack([known.column(c).to_numpy() for c in ("k1", "k2")], 1).view(U)
         near, far, comp = (known.column(c).to_numpy() for c in ("near", "far", "component"))
@@ -425,6 +431,7 @@ def _next(bands: Bands, turn: int | None):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            B.release()
             for _, _, h, at in sets_of(batch, size):
                 key = B.signed(class_keys(h, at))
                 body = [h[at[r] : at[r + 1]].tobytes() for r in range(len(key))]
@@ -438,6 +445,7 @@ def _sift(bands: Bands):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            B.release()
             gap = np.array([sketch_gap(a, b) for a, b in zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True)], np.int64)
             n1, n2 = batch.column("n1").to_numpy(), batch.column("n2").to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array((gap <= bands.most_differ(n1, n2)) & _fits(bands, n1, n2)), pa.array(2 * gap / np.maximum(n1 + n2 + gap, 1))], ["k1", "k2", "may", "near"])
@@ -448,6 +456,7 @@ def _sift(bands: Bands):
 def _verify(bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            B.release()
             link, far = [], []
             for a, b in zip(batch.column("e1"), batch.column("e2"), strict=True):
                 x, y = np.frombuffer(a.as_py(), U), np.frombuffer(b.as_py(), U)

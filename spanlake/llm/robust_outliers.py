@@ -59,6 +59,7 @@ def vectors(c: dict[str, np.ndarray]) -> np.ndarray:
 def _stats(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            B.release()
             buf, off = B.column(batch, "text")
             for i, j in B.slices(off):
                 c = counts(buf[off[i] : off[j]], off[i : j + 1] - off[i])

@@ -93,6 +93,7 @@ def _anchors(least: int, shards: int):
     """Pass 1: a chunk's distinct minimisers, and which of them two of its documents have."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        B.release()
         ids, value, who = _ids(table), [], []
         for i, _, _, _, _, _, doc, low in _sliced(table, least):
             value.append(low)
@@ -121,6 +122,7 @@ def _deltas(value: np.ndarray) -> np.ndarray:
 
 def _repeated(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pass 1, by shard: for each chunk, which of its minimisers stand in two documents."""
+    B.release()
     chunk, value, many = [], [], []
     for batch in batches:
         chunk += batch.column("chunk").to_pylist()
@@ -158,6 +160,7 @@ def _strings(least: int, shards: int):
     """Pass 2: a chunk's distinct strings of repeated minimisers, with the smallest and largest id that has each."""
 
     def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
+        B.release()
         empty = pa.table({"shard": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), "block": pa.array([], pa.binary())})
         if not len(told) or not len(table):
             return empty
@@ -292,6 +295,7 @@ def _firsts(least: int):
     """Pass 2, by shard: for each chunk, its strings that hold windows first seen in a smaller document."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.release()
         chunk, got, where = [], [], []
         for batch in batches:
             for c, block in zip(batch.column("chunk").to_pylist(), batch.column("block"), strict=True):
@@ -350,6 +354,7 @@ def _marks(least: int, with_text: bool):
     """Pass 3: what is left of every document of a chunk."""
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        B.release()
         name, values, count = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(told):
             name, count, values = (np.concatenate(x) for x in zip(*(B.unpack(x.as_py()) for x in told.column("block")), strict=True))

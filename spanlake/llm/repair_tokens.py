@@ -165,16 +165,26 @@ def _byte_letters() -> list[str]:
 
 
 class _Pieces(dict):
-    """Ids of pieces; a piece that isn't there yet is encoded when it is asked for."""
+    """Ids of pieces; a piece that isn't there yet is taken from the generation before, or encoded, when it is asked for."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, old: dict | None = None):
         super().__init__({"": b""})
-        self.encode = encode
+        self.encode, self.old = encode, old or {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = self.encode(piece)
+        out = self.old.get(piece)
+        if out is None:
+            out = self.encode(piece)
+        self[piece] = out
         return out
 
+    def younger(self, most: int) -> "_Pieces":
+        """Itself, or once it has over ``most`` pieces a new generation, which drops the one before this."""
+        if len(self) <= most:
+            return self
+        self.old = {}
+        return _Pieces(self.encode, self)
+
 
 class Encoder:
     """Ids of texts, as bytes of little-endian 32-bit numbers.
@@ -189,7 +199,7 @@ class Encoder:
     PLAIN = re.compile("([!-&(-/:-@\\[-`{-~]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
     TRIALS = ("a", "Ab", "the", "Tion,", "(word.", "It", "s", "re", "\u00e9t\u00e9", "ci\u00f3n;", "\u00c4rger", "stra\u00dfe:", "won|$$", "ll", "ve?!", "<THEM>", "#x")
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -223,8 +233,7 @@ class Encoder:
         return self._whole(piece)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self._clear()
+        self.known, self.stems = self.known.younger(self.most), self.stems.younger(self.most)
         get = self.known.__getitem__
         return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
 

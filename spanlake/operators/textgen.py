@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from spanlake.functions.text import seeded_number, token_count
 
 
+#: Fixed value: the sentence that hides a value.
+NEEDLE = "One of the special magic numbers for {key} is: {value}."
+
+
 def shuffled(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), key.cast("string")))
 
@@ -20,7 +24,7 @@ def needles(keys: DataFrame, values: int = 1, seed: int = 42) -> DataFrame:
     """(sample, key, value_no, value, sentence) from (sample, key)."""
     rows = keys.withColumn("value_no", F.explode(F.sequence(F.lit(0), F.lit(values - 1))))
     rows = rows.withColumn("value", seeded_number(F.concat_ws("/", F.col("sample").cast("string"), "key", F.col("value_no").cast("string")), seed).cast("string"))
-    return rows.withColumn("sentence", F.concat(F.lit("One of the special magic numbers for "), F.col("key"), F.lit(" is: "), F.col("value"), F.lit(".")))
+    return rows.withColumn("sentence", fill_template(F.lit(NEEDLE), {"key": F.col("key"), "value": F.col("value")}))
 
 
 def haystack(sentences: DataFrame, hidden: DataFrame, seed: int = 42) -> DataFrame:

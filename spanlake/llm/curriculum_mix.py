@@ -82,8 +82,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         return F.when(words > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), t)))
 
     rows = rows.withColumns({"position": time(F.col("_from"), F.col("first_taken")), "repeat_position": time(F.col("_from") + F.col("source_size"), F.col("_again")), "taken": F.col("first_taken") + F.col("_again")})
-    rows = rows.select(*(F.col(f"_row.`{c}`").alias(c) for c in kept), *mine)
-    return rows.repartitionByRange(F.col("position")).sortWithinPartitions("position") if ordered else rows
+    if ordered:  # the documents that nothing is taken from are many and have no position: the order of the source deals them
+        rows = rows.repartitionByRange("position", "_order").sortWithinPartitions("position", "_order")
+    return rows.select(*(F.col(f"_row.`{c}`").alias(c) for c in kept), *mine)
 
 
 def training_order(mixed: DataFrame, kept: list[str]) -> DataFrame:

@@ -1,8 +1,9 @@
 """Token-id output compressed by Re-Pair grammars, one a shard, with random-access decoding.
 
 A shard holds the ids of consecutive documents. Round after round the frequent pairs of neighbouring symbols become
-nonterminals: a round counts all pairs, takes the most frequent ones, resolves overlaps from the left and drops pairs
-whose remaining occurrences are too few. The file keeps, per shard, the rules, each rule's expansion length, the packed
+nonterminals, until no pair stands twice: a round counts all pairs that may stand twice, takes the most frequent ones,
+of overlapping occurrences that of the more frequent pair, and leaves pairs with too few occurrences to later rounds.
+The file keeps, per shard, the rules, each rule's expansion length, the packed
 final sequence and the documents' lengths. A shard is one binary value in a Parquet file, so any store that Spark
 writes will do, and a lost executor's work is redone by Spark's commit protocol.
 """
@@ -43,65 +44,96 @@ def _unpacked(raw: memoryview, at: int) -> tuple[np.ndarray, int]:
     return x, at
 
 
-def _which(pairs: np.ndarray, key: np.ndarray, bits: int = 17) -> np.ndarray:
-    """For each key its place among the pairs, -1: none, by one probe into a table. Of pairs with one slot the last has it; the others wait for the next round."""
-    slot = lambda x: (x * U(0x9E3779B97F4A7C15)) >> U(64 - bits)
-    table = np.full(1 << bits, len(pairs), np.int32)
-    table[slot(pairs)] = np.arange(len(pairs), dtype=np.int32)
-    out = table[slot(key)]
-    return np.where(np.append(pairs, U((1 << 64) - 1))[out] == key, out, -1)
-
-
-def grammar(seq: np.ndarray, base: int, rounds: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def _sorted_pairs(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places, ordered by the pair that begins there and then by place, and the first of each pair among them."""
+    width, bits = int(seq.max()).bit_length(), len(seq).bit_length()
+    key = (seq[at].astype(U) << U(width)) | seq[at + 1]
+    if 2 * width + bits <= 64:  # the place fits below the pair: one sort of plain numbers
+        key = (key << U(bits)) | at.astype(U)
+        key.sort()
+        at = (key & U((1 << bits) - 1)).astype(np.int64)
+        key >>= U(bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+    return at, np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+
+
+def _apart(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of which no two touch: again and again those that outrank both neighbours. ``rank`` is 0 elsewhere and gets used up."""
+    taken = []
+    while len(at):
+        r = rank[at]
+        best = at[(r > rank[at - 1]) & (r > rank[at + 1])]
+        taken.append(best)
+        rank[best - 1] = rank[best] = rank[best + 1] = 0
+        at = at[rank[at] > 0]
+    return np.sort(np.concatenate(taken))
+
+
+def grammar(seq: np.ndarray, base: int, rounds: int | None, most: int, least: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Final sequence, rules (pairs of symbols; rule r is symbol base + r) and the first rule of each round.
 
-    Rounds end early when one shortens the sequence by less than a hundredth.
+    Ends when no pair stands ``least`` times without overlap, or after ``rounds`` if that is a number. Of overlapping
+    occurrences the more frequent pair's is taken; so all those of the most frequent one are, and no round is in vain.
+    A pair of old symbols never gets more frequent: once it stands too seldom, its places aren't counted again.
     """
     seq = np.ascontiguousarray(seq, np.uint32)
-    rules, firsts, top, gain = [], [], base, 1.0
-    while len(firsts) < rounds and len(seq) > 1 and gain >= 0.01:
-        key = (seq[:-1].astype(U) << U(32)) | seq[1:]
-        s = np.sort(key)
-        start = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
-        count = np.diff(start)
+    rules, firsts, top = [], [], base
+    live = np.ones(max(len(seq) - 1, 0), bool)  # places whose pair may still be frequent
+    while (rounds is None or len(firsts) < rounds) and live.any():
+        at = np.flatnonzero(live)
+        # in a run of one symbol every other place counts
+        equal = at[seq[at] == seq[at + 1]]
+        if len(equal):
+            fresh = np.ones(len(equal), bool)
+            np.not_equal(equal[1:], equal[:-1] + 1, out=fresh[1:])
+            place = np.arange(len(equal))
+            odd = equal[((place - np.maximum.accumulate(np.where(fresh, place, 0))) & 1) == 1]
+            live[odd] = False
+            at = np.flatnonzero(live)
+            live[odd] = True
+        at, start = _sorted_pairs(seq, at)
+        count = np.diff(np.append(start, len(at)))
+        live[at[np.repeat(count < least, count)]] = False
         good = np.flatnonzero(count >= least)
         if len(good) > most:
             good = good[np.argpartition(-count[good], most)[:most]]
         if not len(good):
             break
-        pairs = np.sort(s[start[good]])
-        which = _which(pairs, key)
-        at = np.flatnonzero(which >= 0).astype(np.int32)
-        which = which[at]
-        while True:
-            # occurrences that touch form a run, of which every other one is taken
-            place = np.arange(len(at), dtype=np.int32)
-            fresh = np.ones(len(at), bool)
-            np.not_equal(at[1:], at[:-1] + 1, out=fresh[1:])
-            taken = ((place - np.maximum.accumulate(np.where(fresh, place, 0))) & 1) == 0
-            often = (np.bincount(which[taken], minlength=len(pairs)) >= least)[which]
-            if often.all():
-                break
-            at, which = at[often], which[often]
-        at, which = at[taken], which[taken]
-        if not len(at):
-            break
-        used = np.flatnonzero(np.bincount(which, minlength=len(pairs)))
-        name = np.zeros(len(pairs), np.uint32)
+        good = good[np.argsort(count[good], kind="stable")]
+        number = np.zeros(len(start), np.int32)
+        number[good] = np.arange(1, len(good) + 1)
+        rank = np.zeros(len(seq) + 2, np.int32)  # of the place before; none outranks what lies outside
+        number = np.repeat(number, count)
+        at, number = at[number > 0], number[number > 0]
+        rank[at + 1] = number
+        which = rank.copy()
+        at = _apart(rank, at + 1) - 1
+        which = which[at + 1]
+        often = np.bincount(which, minlength=len(good) + 1) >= least
+        at, which = at[often[which]], which[often[which]]
+        used = np.flatnonzero(often)
+        one = np.zeros(len(good) + 1, np.int64)
+        one[which] = at
+        pairs = np.stack([seq[one[used]], seq[one[used] + 1]], 1).astype(np.int64)
+        name = np.zeros(len(good) + 1, np.uint32)
         name[used] = np.arange(top, top + len(used))
-        gain = len(at) / len(seq)
         seq = seq.copy()
         seq[at] = name[which]
+        live = np.append(live, False)
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        seq, live = seq[keep], live[keep][: max(int(keep.sum()) - 1, 0)]
         firsts.append(top - base)
-        rules.append(np.stack([pairs[used] >> U(32), pairs[used] & U(0xFFFFFFFF)], 1).astype(np.int64))
+        rules.append(pairs)
         top += len(used)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), firsts
 
 
-def encode_shard(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 3, most: int = 8192, least: int = 8) -> bytes:
+def encode_shard(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int | None = None, most: int = 8192, least: int = 2) -> bytes:
     """A shard's block: document lengths, round starts, rules, expansion lengths, final sequence."""
     seq, rules, firsts = grammar(ids, base, rounds, most, least)
     size = np.ones(base + len(rules), np.int64)
@@ -130,14 +162,15 @@ class Shard:
         self._ends = None
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        for first in self.firsts[::-1].tolist():  # a later round's rules only name symbols of earlier ones
-            hit = np.flatnonzero(seq >= self.base + first)
-            if len(hit):
-                rule = self.rules[seq[hit] - self.base]
-                wide = np.insert(seq, hit + 1, rule[:, 1])
-                wide[hit + np.arange(len(hit))] = rule[:, 0]
-                seq = wide
-        return seq
+        ends = np.cumsum(self.size[seq])
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        at = ends - self.size[seq]
+        while len(seq):  # a step down all parse trees at once; ids go to their places
+            leaf = seq < self.base
+            out[at[leaf]] = seq[leaf]
+            rule, at = self.rules[seq[~leaf] - self.base], at[~leaf]
+            seq, at = np.concatenate([rule[:, 0], rule[:, 1]]), np.concatenate([at, at + self.size[rule[:, 0]]])
+        return out
 
     def ids(self) -> np.ndarray:
         return self._expand(self.seq)
@@ -277,7 +310,7 @@ def _write(path: str, end: int, shard_tokens: int, base: int, how: dict):
 WRITTEN = "part int, shard int, first_token long, doc_ids array<long>, n_tokens long, block binary"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, base: int = 1 << 16, shard_tokens: int = 1 << 18, **how) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, base: int = 1 << 16, shard_tokens: int = 1 << 20, **how) -> None:
     """Encode whole texts and write their grammars under ``path``, in ascending order of ids (null first).
 
     Null text counts as empty and has the end id only. Repeated ids stand next to each other, ordered by text.

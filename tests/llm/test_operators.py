@@ -49,6 +49,21 @@ def test_grammar_shrinks_repetition():
     assert len(Shard(encode_shard(ids, np.array([len(ids)]), 1 << 16, rounds=12)).seq) < len(ids) / 10
 
 
+def test_grammar_ends_when_no_pair_stands_twice():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 49_000, 700)
+    for ids in (np.concatenate([np.concatenate([passage, rng.integers(0, 49_000, 50)]) for _ in range(30)]), rng.integers(0, 300, 40_000), np.tile([5, 5, 5, 6], 3000), np.array([3, 1, 2, 4, 3, 1, 9, 1, 2, 4])):
+        shard = Shard(encode_shard(ids.astype(np.uint32), np.array([len(ids)]), 1 << 16))
+        assert (shard.ids() == ids).all()
+        left, last = Counter(), None
+        for pair in zip(shard.seq.tolist(), shard.seq[1:].tolist(), strict=False):
+            last = None if pair == last else pair  # in a run of one symbol every other place counts
+            left[pair] += last is not None
+        assert max(left.values(), default=0) < 2
+        if len(ids) == 22_500:
+            assert shard.size.max() >= 700 and len(shard.seq) < 30 * 52
+
+
 def test_encoder_equals_library():
     texts = [t for _, t in ODD] + ["It's WE'LL it 's a.b ...! İstanbul ẞ ﬁn", "á été \x1c\x85x y", "'s 've"]
     encoder = Encoder(TOKENIZER)

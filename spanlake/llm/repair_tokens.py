@@ -225,12 +225,13 @@ class Encoder:
     A text is cut at spaces and line ends, at which the tokenizer cuts anyway, and every distinct piece is encoded once.
     Of a piece of plain letters with marks around them, letters and marks are looked up on their own, and the
     library's model encodes the letters, without the machinery around it; whether that gives what the whole
-    tokenizer gives is tried when it is opened, and pieces of other kinds go through the whole tokenizer.
+    tokenizer gives is tried when it is opened, and pieces of other kinds, or with one of the tokenizer's added tokens
+    in them, go through the whole tokenizer.
     """
 
     #: Marks: ASCII punctuation but the apostrophe, which joins letters to contractions.
     PLAIN = re.compile("([!-&(-/:-@\\[-`{-~]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
-    TRIALS = ("a", "Ab", "the", "Tion,", "(word.", "It", "s", "re", "\u00e9t\u00e9", "ci\u00f3n;", "\u00c4rger", "stra\u00dfe:", "won|$$", "ll", "ve?!", "<THEM>", "#x")
+    TRIALS = ("a", "Ab", "the", "Tion,", "(word.", "It", "s", "re", "\u00e9t\u00e9", "ci\u00f3n;", "\u00c4rger", "stra\u00dfe:", "won|$$", "ll", "ve?!", "<THEM>", "#x", "<|startoftext|>", "(<|endoftext|>).")
 
     def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -238,6 +239,8 @@ class Encoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
         self.split = True
         self._clear()
         try:
@@ -257,7 +260,7 @@ class Encoder:
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
     def _piece(self, piece: str) -> bytes:
-        if self.split:
+        if self.split and not self.added(piece):
             if piece.isascii() and piece.isalpha():
                 return self.stems[piece.lower()]
             if found := self.PLAIN(piece):

@@ -65,7 +65,7 @@ def test_grammar_ends_when_no_pair_stands_twice():
 
 
 def test_encoder_equals_library():
-    texts = [t for _, t in ODD] + ["It's WE'LL it 's a.b ...! İstanbul ẞ ﬁn", "á été \x1c\x85x y", "'s 've"]
+    texts = [t for _, t in ODD] + ["<|endoftext|> a <|startoftext|>\n(<|endoftext|>). b<|endoftext|>c <|ENDOFTEXT|> <|endoftext", "It's WE'LL it 's a.b ...! İstanbul ẞ ﬁn", "á été \x1c\x85x y", "'s 've"]
     encoder = Encoder(TOKENIZER)
     assert encoder.split
     whole = encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)

@@ -23,8 +23,11 @@ from .shared import stash
 from .text_stats import counts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Smallest spread of each transformed statistic; below it, differences say nothing about quality.
-FLOOR = (1.0, 0.12, 0.6, 0.8, 0.1)
+#: Smallest spread of each transformed statistic, as most groups' cores have no symbols and no repeats at all. For
+#: symbols and lines half of what the first one makes (of symbols in 100 characters), for repeated words a quarter of
+#: what one repeated window makes in 100 words. The mean length of a few dozen words varies by some hundredths by
+#: chance, and a small group's core can be far closer in its number of words than its clean texts are.
+FLOOR = (0.6, 0.05, math.log(2) / 2, math.log(2) / 2, 0.08)
 DIM = len(FLOOR)
 
 
@@ -99,7 +102,7 @@ def _distance():
     return total
 
 
-def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", core: float = 0.75, steps: int = 4, quantile: float = 0.99999, least_group: int = 50, most_broadcast: int = 20_000) -> DataFrame:
+def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", core: float = 0.75, steps: int = 4, quantile: float = 0.999, least_group: int = 50, most_broadcast: int = 20_000) -> DataFrame:
     """Per document its counts, base_failed, distance (squared; null if base_failed) and kept.
 
     Null language or source is a value of its own. Groups of fewer than ``least_group`` documents are judged with the

@@ -294,6 +294,27 @@ def test_outliers_go_clean_documents_stay(spark):
     assert sum(kept[i] for i, *_ in data) == len(data)
 
 
+def test_moderate_junk_goes(spark):
+    rng = np.random.default_rng(3)
+    words = lambda n: ["".join(rng.choice(list("aeioustrn"), rng.integers(2, 9))) for _ in range(n)]
+    data = [(i, " ".join(words(rng.integers(40, 400))), "en", "s", 0) for i in range(300)]
+    one_a_word = lambda: " ".join(w + "$" for w in words(150))
+    fifth = lambda: " ".join(w + "#*$%&|<>"[i % 8] if i % 10 < 9 else w for i, w in enumerate(words(150)))
+
+    def repeated(n):
+        """n lines, of 400, that stand earlier, in another order."""
+        w = words(400)
+        return "\n".join([*w, *rng.permutation(w[:n])])
+
+    junk = [one_a_word, fifth, lambda: repeated(20), lambda: repeated(60)]
+    data += [(1000 + 10 * k + i, make(), "en", "s", 0) for k, make in enumerate(junk) for i in range(5)]
+    out = {r["doc_id"]: r for r in robust_outliers(frame(spark, data)).collect()}
+    assert all(out[i]["kept"] for i in range(300))
+    for i in range(1000, 1040):
+        if i in out:
+            assert not out[i]["base_failed"] and not out[i]["kept"], out[i]
+
+
 def test_chi_square():
     assert chi2_cdf(chi2_quantile(0.95, 5), 5) == pytest.approx(0.95)
     assert chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)

@@ -192,13 +192,9 @@ def task_config_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id as \"ID\", lang as \"Task\", text as \"Prediction\" from documents where doc_id in (select doc_id from labels)")
 def submission_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of tasks that have a file (a semi-join), as one submission table."""
+    """Predictions of tasks that have a file (a semi-join), of every task and of none, as one submission table."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
-    parts = [tasks.submission(d.where(F.col("lang") == x).select(F.col("lang").alias("task"), F.col("doc_id").alias("index"), F.col("text").alias("pred"))) for x in ("de", "en", "es", "fr")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return tasks.submission(d.select(F.col("lang").alias("task"), F.col("doc_id").alias("index"), F.col("text").alias("pred")))
 
 
 @query("""select page_id, row_number() over (order by url, page_id) - 1 as number, (sum(length(html) + 2) over (order by url, page_id rows between unbounded preceding and current row) - length(html) - 2)::bigint as start from pages""")

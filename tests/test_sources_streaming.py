@@ -126,3 +126,11 @@ def test_stream_centroids(spark, tmp_path):
         want.add(v)
     last = {r["cluster_id"]: r for r in spark.table("cents").where("waiting = 2").collect()}
     assert [last[i]["size"] for i in range(3)] == want.n.tolist() and [last[i]["pending"] for i in range(3)] == want.pending.tolist()
+
+
+def test_submission_holds_every_task(spark, tmp_path):
+    from spanlake.plans.corpora import submission_union
+
+    spark.createDataFrame([(1, "a", "de"), (2, "b", "it"), (3, "c", None), (4, "d", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r["ID"] for r in submission_union(spark, str(tmp_path)).collect()) == [1, 2, 3]

@@ -13,14 +13,17 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytesops as B
+
 U = np.uint64
 MAGIC = b"RPG1"
 
@@ -222,8 +225,8 @@ class _Pieces(dict):
 class Encoder:
     """Ids of texts, as bytes of little-endian 32-bit numbers.
 
-    A text is cut at spaces and line ends, at which the tokenizer cuts anyway, and every distinct piece is encoded once.
-    Of a piece of plain letters with marks around them, letters and marks are looked up on their own, and the
+    Texts are cut at spaces and line ends, at which the tokenizer cuts anyway; Arrow numbers the distinct pieces of a
+    batch, each is looked up or encoded once, and the ids of all places are gathered from those. Of a piece of plain letters with marks around them, letters and marks are looked up on their own, and the
     library's model encodes the letters, without the machinery around it; whether that gives what the whole
     tokenizer gives is tried when it is opened, and pieces of other kinds, or with one of the tokenizer's added tokens
     in them, go through the whole tokenizer.
@@ -233,7 +236,7 @@ class Encoder:
     PLAIN = re.compile("([!-&(-/:-@\\[-`{-~]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
     TRIALS = ("a", "Ab", "the", "Tion,", "(word.", "It", "s", "re", "\u00e9t\u00e9", "ci\u00f3n;", "\u00c4rger", "stra\u00dfe:", "won|$$", "ll", "ve?!", "<THEM>", "#x", "<|startoftext|>", "(<|endoftext|>).")
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -250,28 +253,42 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.stems, self.marks = _Pieces(self._piece), _Pieces(self._stem), _Pieces(self._whole)
+        self.known, self.marks = _Pieces(self._piece), _Pieces(self._whole)
 
     def _whole(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _stem(self, stem: str) -> bytes:
         letters = stem if stem.isascii() else "".join([self.letters[b] for b in stem.encode()])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if self.split and not self.added(piece):
             if piece.isascii() and piece.isalpha():
-                return self.stems[piece.lower()]
+                return self._stem(piece.lower())
             if found := self.PLAIN(piece):
                 before, stem, after = found.groups()
-                return self.marks[before] + self.stems[stem.lower()] + self.marks[after]
+                return self.marks[before] + self._stem(stem.lower()) + self.marks[after]
         return self._whole(piece)
 
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of each text's; null: none."""
+        self.known = self.known.younger(self.most)
+        pieces = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        found = [self.known[x] for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        n = size[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        places = np.repeat(first[which] - ends[:-1], n) + np.arange(int(ends[-1]))
+        offsets = pieces.offsets.to_numpy().astype(np.int64)
+        return np.frombuffer(b"".join(found), "<u4")[places], np.diff(ends[offsets - offsets[0]])
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        self.known, self.stems = self.known.younger(self.most), self.stems.younger(self.most)
-        get = self.known.__getitem__
-        return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
+        flat, size = self.ids(pa.array(texts, pa.large_string()))
+        return [x.tobytes() for x in np.split(flat, np.cumsum(size)[:-1])] if len(size) else []
 
 
 #: One encoder a worker process and tokenizer: its pieces serve the tasks that follow.
@@ -286,25 +303,38 @@ def _write(path: str, end: int, shard_tokens: int, base: int, how: dict):
 
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
-        encoder, part, last = _ENCODERS[path], TaskContext.get().partitionId(), end.to_bytes(4, "little")
-        held, names, size, first, shard = [], [], 0, 0, 0
+        encoder, part = _ENCODERS[path], TaskContext.get().partitionId()
+        held, sizes, names, first, shard = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
-            block = encode_shard(np.frombuffer(b"".join(held), "<u4"), lengths, base, **how)
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, shard, first, names, size, block), schema, strict=True)], schema=schema)
+            ids, lengths = np.concatenate(held), np.concatenate(sizes)
+            block = encode_shard(ids, lengths, base, **how)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, shard, first, np.concatenate(names), len(ids), block), schema, strict=True)], schema=schema)
 
+        size = 0
         for batch in batches:
-            for i in range(0, len(batch), 2000):
-                cut = batch.slice(i, 2000)
-                for name, ids in zip(cut.column("doc_id").to_pylist(), encoder(cut.column("text").to_pylist()), strict=True):
-                    held.append(ids + last)
-                    names.append(name)
-                    size += len(ids) // 4 + 1
+            text = batch.column("text").cast(pa.large_string())
+            doc = batch.column("doc_id")
+            _, off = B.column(batch, "text")
+            for i, j in B.slices(off, 8 << 20):
+                ids, n = encoder.ids(text.slice(i, j - i))
+                ends = np.cumsum(n + 1)
+                full = np.full(int(ends[-1]), end, np.uint32)
+                inner = np.ones(len(full), bool)
+                inner[ends - 1] = False
+                full[inner] = ids
+                a = 0
+                while a < j - i:  # a shard ends after the document that fills it
+                    before = int(ends[a - 1]) if a else 0
+                    b = min(int(np.searchsorted(ends, before + shard_tokens - size)) + 1, j - i)
+                    held.append(full[before : int(ends[b - 1])])
+                    sizes.append(n[a:b] + 1)
+                    names.append(np.array(doc.slice(i + a, b - a).to_pylist(), object))
+                    size, a = size + len(held[-1]), b
                     if size >= shard_tokens:
                         yield flush()
-                        held, names, first, size, shard = [], [], first + size, 0, shard + 1
-        if held:
+                        held, sizes, names, first, size, shard = [], [], [], first + size, 0, shard + 1
+        if size:
             yield flush()
 
     return run

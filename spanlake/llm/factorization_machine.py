@@ -3,6 +3,10 @@
 score = sigmoid(b + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)), linear in the features and
 rank. Features: lower-cased words hashed to ``bits`` bits with weights log(1 + count), normed, and structure statistics of
 the text in bins. The model is fitted on a bounded sample of labelled documents and has a fixed size, whatever the corpus.
+
+It is trained until its loss settles, by updates and not by passes, so few labels get as many steps as many. Scores are
+calibrated: models fitted on one half of the sample score the other, and a logistic curve through all those scores
+and labels maps the final model's sums to probabilities.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .shared import drop, stash
 from .text_stats import counts
 
 U = np.uint64
@@ -68,41 +73,83 @@ def logits(model: tuple[float, np.ndarray, np.ndarray], idx: np.ndarray, val: np
     return b + np.add.reduceat(w[idx] * val, at[:-1]) + 0.5 * (s * s - q).sum(1)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, rank: int = 8, epochs: int = 8, rate: float = 0.08, decay: float = 1e-5, batch: int = 256, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss, adaptive gradients. One class only: its prior."""
+def _joined(rows: list[tuple[np.ndarray, np.ndarray]], part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    idx, val = np.concatenate([rows[i][0] for i in part]), np.concatenate([rows[i][1] for i in part])
+    return idx, val, np.concatenate([[0], np.cumsum([len(rows[i][0]) for i in part])])
+
+
+def descend(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, rank: int, rate: float, decay: float, batch: int, least_updates: int, most_updates: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic loss, adaptive gradients, until a pass lowers the mean loss by less than a fiftieth."""
     rng = np.random.default_rng(seed)
     w, v = np.zeros(WIDTH, np.float32), rng.normal(0, 0.05, (WIDTH, rank)).astype(np.float32)
     prior = float(np.clip(label.mean(), 0.01, 0.99)) if len(label) else 0.5
     b = float(np.log(prior / (1 - prior)))
     if len(label) == 0 or label.min() == label.max():
         return b, w, v * 0
-    gw, gv, gb = np.full(WIDTH, 1e-2, np.float32), np.full((WIDTH, rank), 1e-2, np.float32), 1e-2
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
+    gw, gv, gb = np.full(WIDTH, 1e-6, np.float32), np.full((WIDTH, rank), 1e-6, np.float32), 1e-6
+    here, column = np.zeros(WIDTH, bool), np.zeros(WIDTH, np.int64)
+    updates, last = 0, np.inf
+    while updates < most_updates:
+        order, loss = rng.permutation(len(rows)), 0.0
         for k in range(0, len(order), batch):
             part = order[k : k + batch]
-            idx, val = np.concatenate([rows[i][0] for i in part]), np.concatenate([rows[i][1] for i in part])
-            at = np.concatenate([[0], np.cumsum([len(rows[i][0]) for i in part])])
-            vx = v[idx] * val[:, None]
-            s, q = np.add.reduceat(vx, at[:-1], axis=0), np.add.reduceat(vx * vx, at[:-1], axis=0)
-            z = b + np.add.reduceat(w[idx] * val, at[:-1]) + 0.5 * (s * s - q).sum(1)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[part]).astype(np.float32) / len(part)
-            row = np.repeat(np.arange(len(part)), np.diff(at))
-            order_i = np.argsort(idx, kind="stable")
-            ids = idx[order_i]
-            start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            ids = ids[start]
-            dw = np.add.reduceat((g[row] * val)[order_i], start) + decay * w[ids]
-            dv = np.add.reduceat((g[row, None] * val[:, None] * (s[row] - vx))[order_i], start, axis=0) + decay * v[ids]
+            idx, val, at = _joined(rows, part)
+            here[idx] = True
+            ids = np.flatnonzero(here)  # the batch's features: the columns of a small dense matrix
+            here[ids] = False
+            column[ids] = np.arange(len(ids))
+            x = np.zeros((len(part), len(ids)), np.float32)
+            x[np.repeat(np.arange(len(part)), np.diff(at)), column[idx]] = val
+            vi, x2 = v[ids], x * x
+            s = x @ vi
+            z = np.clip(b + x @ w[ids] + 0.5 * (s * s - x2 @ (vi * vi)).sum(1), -30, 30)
+            loss += float(np.logaddexp(0, np.where(label[part] > 0, -z, z)).sum())
+            g = (1 / (1 + np.exp(-z)) - label[part]).astype(np.float32) / len(part)
+            dw = g @ x + decay * w[ids]
+            dv = x.T @ (g[:, None] * s) - (g @ x2)[:, None] * vi + decay * vi
             gw[ids] += dw * dw
             gv[ids] += dv * dv
             w[ids] -= rate * dw / np.sqrt(gw[ids])
             v[ids] -= rate * 0.5 * dv / np.sqrt(gv[ids])
             gb += float(g.sum()) ** 2
             b -= rate * float(g.sum()) / gb**0.5
+            updates += 1
+        if updates >= least_updates and loss > 0.98 * last:
+            break
+        last = loss
     return b, w, v
 
 
+def curve(z: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through sums and labels; the targets keep off 0 and 1 by the classes' sizes."""
+    ones = float(label.sum())
+    target = np.where(label > 0, (ones + 1) / (ones + 2), 1 / (len(label) - ones + 2))
+    x = np.stack([z, np.ones(len(z))], 1).astype(np.float64)
+    c = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - target))
+        c -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(c[0]), float(c[1])) if c[0] > 0 else (1.0, 0.0)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, rank: int = 8, rate: float = 0.05, decay: float = 1e-6, batch: int = 64, least_updates: int = 100, most_updates: int = 300, folds: int = 2, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """A calibrated model, with slope and offset of the curve folded into it. One class only: its prior."""
+    how = (rank, rate, decay, batch, least_updates, most_updates, seed)
+    b, w, v = descend(rows, label, *how)
+    if len(label) < 2 * folds or label.min() == label.max():
+        return b, w, v
+    fold = np.random.default_rng(seed).permutation(len(rows)) % folds
+    z = np.zeros(len(rows))
+    for f in range(folds):
+        out, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        z[out] = logits(descend([rows[i] for i in rest], label[rest], *how), *_joined(rows, out))
+    slope, offset = curve(z, label)
+    return slope * b + offset, (slope * w).astype(np.float32), (np.sqrt(slope) * v).astype(np.float32)
+
+
 def _features(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,17 +183,24 @@ def held_out(key, folds: int = 5, held: int = 0):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == held, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 12000, folds: int = 5, held: int = 0, **how):
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 12000, most_features: int = 4_000_000, folds: int = 5, held: int = 0, **how):
     """The model, from at most ``sample`` labelled ids outside the held-out fold, those of smallest hash.
 
-    Labels that are null or have a null id are ignored; of several labels of one id, the smallest holds.
+    Of those, the first whose distinct words together stay below ``most_features`` are used, 8 bytes each on the driver.
+    Labels that are null or have a null id are ignored; of several labels of one id, the smallest holds, and of several
+    texts of one id the one of the smallest hash.
     """
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label is not null")
     known = known.where(~held_out(F.col("_id"), folds, held)).groupBy("_id").agg(F.min("_label").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(F.broadcast(known), "_id").mapInArrow(_features(["_id", "_label"]), "_id long, _label int, idx binary, val binary")
-    rows = found.groupBy("_id").agg(F.first("_label").alias("_label"), F.min(F.struct("idx", "val")).alias("x")).toArrow().sort_by("_id")
+    found = stash(found.groupBy("_id").agg(F.first("_label").alias("_label"), F.min_by(F.struct("idx", "val"), F.xxhash64("idx", "val")).alias("x")), "features")
+    sizes = found.select("_id", F.xxhash64("_id").alias("h"), (F.octet_length("x.idx") / 4).cast("long").alias("n")).toArrow().sort_by([("h", "ascending"), ("_id", "ascending")])
+    fits = np.cumsum(sizes.column("n").to_numpy()) <= most_features
+    edge = sizes.column("h").to_numpy()[fits][-1:].tolist()
+    rows = found.where(F.xxhash64("_id") <= (edge[0] if edge else -(1 << 63))).toArrow().sort_by("_id")
+    drop(found)
     cells = [(np.frombuffer(x["idx"], np.uint32).astype(np.int64), np.frombuffer(x["val"], np.float32)) for x in rows.column("x").to_pylist()]
     return fit(cells, rows.column("_label").to_numpy().astype(np.float32), **how)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -67,6 +68,16 @@ def shards_for(total: int, each: int = 8 << 20) -> int:
     return 1 << max(3, (max(total, 1) // each).bit_length())
 
 
+def chunk_for(total: int, least: int, full: int = 32 << 30) -> int:
+    """Bytes of text in a chunk, and in a shard, of operators that send blocks from every chunk to every shard.
+
+    ``least`` up to ``full`` bytes, from there on growing with the root of the total (56 times as much at 100 TB). So
+    the number of blocks, the product of those of chunks and shards, grows with the total and not with its square, at
+    the price of tasks whose memory grows with its root.
+    """
+    return int(least * max(1.0, math.sqrt(max(total, 0) / full)))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: one row (node, component) per node, component = smallest node.
 

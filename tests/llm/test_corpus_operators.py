@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from spanlake.llm import queries as Q
 from spanlake.llm.bucket_packing import boundaries, pack_buckets
 from spanlake.llm.curriculum_mix import mix_sources, training_order
-from spanlake.llm.factorization_machine import fit_quality, score_quality
+from spanlake.llm.factorization_machine import WIDTH, features, fit_quality, logits, score_quality
 from spanlake.llm.ivf_pq import nearest
 from spanlake.llm.jaccard_join import Bands, jaccard_components, signatures, sketch, sketch_gap
 from spanlake.llm.ngram_trie import EliasFano, TrieShard, score_documents
 from spanlake.llm.repair_tokens import Encoder, Shard, encode_shard, read_digests, write_tokens
 from spanlake.llm.ring_shards import place, ring, ring_shards
 from spanlake.llm.robust_outliers import chi2_cdf, chi2_quantile, robust_outliers
-from spanlake.llm.suffix_dedup import common_prefix_intervals, repeated_spans
+from spanlake.llm.suffix_dedup import _cut, _runs, common_prefix_intervals, repeated_spans
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 ODD = [(i, t) for i, t, *_ in rows()]
@@ -374,6 +374,34 @@ def test_classifier_separates_held_out(spark):
     assert score_quality(frame(spark, EMPTY), model).count() == 0
 
 
+def test_linear_time_equals_pairwise_sum():
+    """The sum-of-squares identity against the explicit sum over all pairs of features."""
+    rng = np.random.default_rng(8)
+    buf, off = np.frombuffer(b"a few words here#12words and words", np.uint8), np.array([0, 17, 17, 34])
+    idx, val, at = features(buf, off)
+    b, w, v = 0.3, rng.normal(size=WIDTH).astype(np.float32), rng.normal(size=(WIDTH, 4)).astype(np.float32)
+    mine = logits((b, w, v), idx, val, at)
+    for r in range(3):
+        i, x = idx[at[r] : at[r + 1]], val[at[r] : at[r + 1]]
+        pairs = sum(float(v[i[j]] @ v[i[k]]) * x[j] * x[k] for j in range(len(i)) for k in range(j))
+        assert mine[r] == pytest.approx(b + float(w[i] @ x) + pairs, rel=1e-4)
+
+
+def test_both_labels_are_predicted(spark):
+    """Held-out rows of either label fall on their side of 0.3."""
+    d = SMALL.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    r = score_quality(docs, fit_quality(docs, labels)).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).collect()
+    good, bad = [x["score"] >= 0.3 for x in r if x["quality"] == 1], [x["score"] >= 0.3 for x in r if x["quality"] == 0]
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.2 * len(bad) and bad
+
+
+def test_features_on_the_driver_are_bounded(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = fit_quality(docs, labels, most_features=3000)
+    assert score_quality(docs, model).where("score between 0 and 1").count() == docs.count()
+
+
 # -- 9
 
 
@@ -401,6 +429,16 @@ def test_repeats_equal_brute_force(spark):
     assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((i, n, r, s, hashlib.sha256(b).hexdigest()) for i, n, r, s, b in want), key=repr)
     assert Counter(r["text"] for r in out.collect()) == Counter(b.decode("utf-8", "ignore") for *_, b in want)
     assert repeated_spans(frame(spark, EMPTY)).count() == 0
+    for hot in (2, 5):  # minimisers that stand so often go window by window
+        assert got(repeated_spans(frame(spark), chunk_bytes=3000, hot=hot), "doc_id", "n_removed", "n_spans", "kept_sha256") == sorted(((i, r, s, hashlib.sha256(b).hexdigest()) for i, n, r, s, b in want), key=repr)
+
+
+def test_shards_of_minimisers_are_even():
+    rng = np.random.default_rng(12)
+    text = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(30_000)).encode()
+    low = np.sort(_runs(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 50)[3])
+    per = np.diff(_cut(low, 16))
+    assert per.max() < 1.3 * per.min()
 
 
 # -- 10

@@ -15,11 +15,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one of its own on a local master and an error on a cluster."""
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="spanlake-")
@@ -27,16 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
+def passing_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder that is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/spanlake-{tag}-{uuid.uuid4().hex}"
+    files, hadoop = _hadoop(spark, path)
+    files.deleteOnExit(hadoop)
+    return path
+
+
+def stash(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The folder goes when the application ends, or with ``drop``.
+    The folder goes when the application ends, or with ``drop``. ``free``: have the driver's JVM collect garbage, upon
+    which Spark deletes the shuffle files of the jobs that wrote ``df`` rather than at some later time.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanlake-{tag}-{uuid.uuid4().hex}"
+    path = passing_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    files, hadoop = _hadoop(spark, path)
-    files.deleteOnExit(hadoop)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed = path
     return out
@@ -58,9 +69,12 @@ def text_bytes(col: Column) -> Column:
     return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
 def word_count(col: Column) -> Column:
     """Number of maximal runs of characters other than ASCII white space; null: 0."""
-    return F.coalesce(F.regexp_count(col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def shards_for(total: int, each: int = 8 << 20) -> int:

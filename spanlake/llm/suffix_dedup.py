@@ -6,7 +6,9 @@ The corpus has no single suffix array. Every window of 50 bytes is dealt by its
 k-byte pieces, so equal windows meet; neighbouring windows with one minimiser travel as one string. Three passes over
 documents, each dealt by chunks of bounded size:
 
-1. every chunk sends its distinct minimisers; those found in one document only can't mark a repeat and fall away;
+1. every chunk sends its distinct minimisers; those found in one document only can't mark a repeat and fall away; the
+   strings of one that stands ``hot`` times or more go on window by window, dealt by the windows' own hashes, so that
+   a piece in a third of all documents, each time in other surroundings, is no single block;
 2. every chunk sends the distinct strings of the others with the smallest document id it has seen; where one minimiser
    has several distinct strings, their suffixes are sorted, the Burrows-Wheeler transform is formed, and intervals of
    common prefixes grow by one byte a step, breadth first, by backward extension, until the length is reached; each
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .shared import shards_for, stash, text_bytes
+from .shared import chunk_for, shards_for, stash, text_bytes
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
@@ -67,7 +69,7 @@ def _runs(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.
         base, step = np.repeat(first, parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         count = np.minimum(np.repeat(count, parts) - step * MOST_RUN, MOST_RUN)
         first = base + step * MOST_RUN
-    return first, count, doc[first], low[first]
+    return first, count, doc[first], B.mix(low[first])  # a minimum of hashes is small; shards are dealt by its upper bits
 
 
 def _sliced(table: pa.Table | pa.RecordBatch, least: int):
@@ -89,8 +91,19 @@ def _cut(sorted_hash: np.ndarray, shards: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_hash, np.arange(shards, dtype=U) << U(64 - bits)), len(sorted_hash))
 
 
+def _split(first: np.ndarray, count: np.ndarray, doc: np.ndarray, low: np.ndarray, hot: np.ndarray, buf: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs, those of hot minimisers cut into their windows, each with its own hash for a minimiser."""
+    if not hot.any():
+        return first, count, doc, low
+    n = count[hot]
+    window = np.repeat(first[hot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    own = B.mix(B.span_hash(B.prefix(buf), window, window + least))
+    cool = ~hot
+    return np.concatenate([first[cool], window]), np.concatenate([count[cool], np.ones(len(window), np.int64)]), np.concatenate([doc[cool], np.repeat(doc[hot], n)]), np.concatenate([low[cool], own])
+
+
 def _anchors(least: int, shards: int):
-    """Pass 1: a chunk's distinct minimisers, and which of them two of its documents have."""
+    """Pass 1: a chunk's distinct minimisers, and how often those stand that two of its documents have."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         B.release()
@@ -103,12 +116,12 @@ def _anchors(least: int, shards: int):
         value, who = value[order], who[order]
         start = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
         if len(start):
-            many = np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start)
+            many = np.where(np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start), np.diff(np.append(start, len(value))), 0).astype(np.uint32)
             value = value[start]
         else:
-            many = np.zeros(0, bool)
+            many = np.zeros(0, np.uint32)
         cut = _cut(value, shards)
-        rows = [(s, B.pack(_deltas(value[a:b]), many[a:b].astype(np.uint8))) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        rows = [(s, B.pack(_deltas(value[a:b]), many[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
@@ -120,34 +133,40 @@ def _deltas(value: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=U(0)) if len(x) else x
 
 
-def _repeated(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 1, by shard: for each chunk, which of its minimisers stand in two documents."""
-    B.release()
-    chunk, value, many = [], [], []
-    for batch in batches:
-        chunk += batch.column("chunk").to_pylist()
-        for block in batch.column("block"):
-            d, m = B.unpack(block.as_py())
-            value.append(np.cumsum(d, dtype=U))
-            many.append(m.astype(bool))
-    sizes = np.array([len(v) for v in value])
-    every, flag = np.concatenate(value), np.concatenate(many)
-    order = np.argsort(every, kind="stable")
-    s = every[order]
-    both = np.zeros(len(s), bool)
-    both[1:] |= s[1:] == s[:-1]
-    both[:-1] |= s[1:] == s[:-1]
-    hit = np.zeros(len(s), bool)
-    hit[order] = both
-    hit |= flag
-    del order, s, both
-    at, out = 0, []
-    for c, n, v in zip(chunk, sizes.tolist(), value, strict=True):
-        good = v[hit[at : at + n]]
-        at += n
-        if len(good):
-            out.append((c, B.pack(np.diff(good, prepend=U(0)))))
-    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["chunk", "block"])
+def _repeated(hot: int):
+    """Pass 1, by shard: for each chunk, which of its minimisers stand in two documents, and which of them are hot."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.release()
+        chunk, value, many = [], [], []
+        for batch in batches:
+            chunk += batch.column("chunk").to_pylist()
+            for block in batch.column("block"):
+                d, m = B.unpack(block.as_py())
+                value.append(np.cumsum(d, dtype=U))
+                many.append(m)
+        sizes = [len(v) for v in value]
+        every, often = np.concatenate(value), np.concatenate(many)
+        order = np.argsort(every, kind="stable")
+        s = every[order]
+        start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        times = np.add.reduceat(np.maximum(often, 1)[order].astype(np.int64), start)
+        n = np.diff(np.append(start, len(s)))
+        kind = ((n > 1) | (np.maximum.reduceat(often[order], start) > 0)).astype(np.uint8)
+        kind[(kind > 0) & (times >= hot)] = 2
+        hit = np.zeros(len(s), np.uint8)
+        hit[order] = np.repeat(kind, n)
+        del order, s
+        at, out = 0, []
+        for c, size, v in zip(chunk, sizes, value, strict=True):
+            mine = hit[at : at + size]
+            at += size
+            good = mine > 0
+            if good.any():
+                out.append((c, B.pack(np.diff(v[good], prepend=U(0)), mine[good])))
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["chunk", "block"])
+
+    return run
 
 
 def _pieces(buf: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -164,13 +183,16 @@ def _strings(least: int, shards: int):
         empty = pa.table({"shard": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), "block": pa.array([], pa.binary())})
         if not len(told) or not len(table):
             return empty
-        known = np.sort(np.concatenate([np.cumsum(B.unpack(x.as_py())[0], dtype=U) for x in told.column("block")]))
+        told = [B.unpack(x.as_py()) for x in told.column("block")]
+        known, kind = np.concatenate([np.cumsum(d, dtype=U) for d, _ in told]), np.concatenate([k for _, k in told])
+        order = np.argsort(known, kind="stable")
+        known, kind = known[order], kind[order]
         ids, parts = _ids(table), []
         for i, _, buf, _, first, count, doc, low in _sliced(table, least):
             at = np.searchsorted(known, low >> U(16))
             at[at == len(known)] = 0
             ok = known[at] == low >> U(16)
-            first, count, doc, low = first[ok], count[ok], doc[ok], low[ok]
+            first, count, doc, low = _split(first[ok], count[ok], doc[ok], low[ok], kind[at[ok]] == 2, buf, least)
             if not len(first):
                 continue
             length = count + least - 1
@@ -191,6 +213,8 @@ def _strings(least: int, shards: int):
         least_id, most_id = np.minimum.reduceat(least_id[order], start), np.maximum.reduceat(most_id[order], start)
         name, low, count, at = name[pick], low[pick], count[pick], at[pick]
         cut, rows = _cut(low, shards), []
+        if (kind == 2).any():  # goes through a shard back to this chunk
+            rows.append((key[0].as_py() % shards, B.pack(known[kind == 2])))
         for s in range(shards):
             a, b = cut[s], cut[s + 1]
             if b > a:
@@ -298,16 +322,22 @@ def _firsts(least: int):
         B.release()
         chunk, got, where = [], [], []
         for batch in batches:
-            for c, block in zip(batch.column("chunk").to_pylist(), batch.column("block"), strict=True):
-                name, low, count, lo, hi, body = B.unpack(block.as_py())
+            for c, block in zip(batch.column("chunk").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                parts = B.unpack(block)
+                if len(parts) == 1:  # a chunk's hot minimisers, for its last pass
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([block], pa.binary())], ["chunk", "block"])
+                    continue
+                name, low, count, lo, hi, body = parts
                 got.append((name, low, count.astype(np.int64), lo, hi))
                 where.append(body)
                 chunk.append(c)
+        if not got:
+            return
         sizes = [len(g[0]) for g in got]
         name, low, count, lo, hi = (np.concatenate(x) for x in zip(*got, strict=True))
         body = np.concatenate(where)
         at = np.cumsum(count + least - 1) - (count + least - 1)
-        del got, where, batch, block
+        del got, where, batch, block, parts
         order = np.lexsort((name, low))
         start = np.flatnonzero(np.append(True, (name[order][1:] != name[order][:-1]) | (low[order][1:] != low[order][:-1])))
         of = np.zeros(len(name), np.int64)
@@ -356,17 +386,22 @@ def _marks(least: int, with_text: bool):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         B.release()
         name, values, count = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(told):
-            name, count, values = (np.concatenate(x) for x in zip(*(B.unpack(x.as_py()) for x in told.column("block")), strict=True))
+        told = [B.unpack(x.as_py()) for x in told.column("block")]
+        hot = np.sort(np.concatenate([x[0] for x in told if len(x) == 1] or [np.zeros(0, U)]))
+        told = [x for x in told if len(x) == 3]
+        if told:
+            name, count, values = (np.concatenate(x) for x in zip(*told, strict=True))
             count = count.astype(np.int64)
         base = np.cumsum(count) - count
         order = np.argsort(name, kind="stable")
         known = name[order]
         ids = _ids(table)
         sizes, removed, spans, digest, kept = [], [], [], [], []
-        for i, j, buf, off, first, runs, doc, _ in _sliced(table, least):
+        for i, j, buf, off, first, runs, doc, low in _sliced(table, least):
             change = np.zeros(len(buf) + 1, np.int64)
             if len(known) and len(first):
+                if len(hot):
+                    first, runs, doc, _ = _split(first, runs, doc, low, np.isin(low >> U(16), hot), buf, least)
                 names = B.span_hash(B.prefix(buf), first, first + runs + least - 1)
                 at = np.searchsorted(known, names)
                 at[at == len(known)] = 0
@@ -403,7 +438,7 @@ def _marks(least: int, with_text: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, chunk_bytes: int = 4 << 20, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, chunk_bytes: int = 4 << 20, hot: int = 1 << 14, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """Per document doc_id, the columns of ``keep``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the remaining text.
 
     Null text counts as empty. A null id is larger than every other: such a row loses what documents with ids hold
@@ -413,13 +448,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     given = [F.col(f"`{c}`").alias(f"_kept{i}") for i, c in enumerate(keep)]
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *given)
     total = docs.select(F.sum(text_bytes(F.col("text")))).first()[0] or 0
-    shards = shards_for(total, 4 << 20)
+    chunk_bytes = chunk_for(total, chunk_bytes)
+    shards = shards_for(total, max(4 << 20, chunk_bytes))
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-total // chunk_bytes)))).cast("long"))
     slim = docs.select("chunk", "doc_id", "text")
     sent = slim.groupBy("chunk").applyInArrow(_anchors(least, shards), "shard int, chunk long, block binary")
-    told = sent.groupBy("shard").applyInArrow(_repeated, "chunk long, block binary")
+    told = sent.groupBy("shard").applyInArrow(_repeated(hot), "chunk long, block binary")
     strings = slim.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_strings(least, shards), "shard int, chunk long, block binary")
-    firsts = stash(strings.groupBy("shard").applyInArrow(_firsts(least), "chunk long, block binary"), "firsts")
+    firsts = stash(strings.groupBy("shard").applyInArrow(_firsts(least), "chunk long, block binary"), "firsts", free=True)
     kinds = dict(docs.dtypes)
     kept = "".join(f"_kept{i} {kinds[f'_kept{i}']}, " for i in range(len(keep)))
     schema = f"doc_id long, {kept}n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text

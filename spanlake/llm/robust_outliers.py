@@ -1,10 +1,15 @@
 """Quality rules with robust multivariate outliers: minimum-covariance-determinant estimates per language and source.
 
-Statistics of every document are transformed to a vector; for each group of language and source, concentration steps
-start at the coordinatewise medians and quartile spreads: distances from the current estimate, the share ``core`` of
-documents nearest to it, mean and covariance of those. Each step lowers the covariance determinant and is two
-aggregates with partial sums over all documents, so a group of any size is no single task. A document goes if its
-squared Mahalanobis distance exceeds the chi-square quantile.
+Statistics of every document are transformed to a vector. For each group of language and source, concentration steps
+go out from three starts: medians with quartile spreads, the plain mean and covariance, and those of values clipped
+around the medians. A step takes distances from the estimate, the share ``core`` of documents nearest to it, and mean and
+covariance of those. After two steps the start of the least covariance determinant goes on, until no group's determinant
+falls any more. Documents within the 0.975 quantile of that estimate give the final one. A document goes if its squared
+Mahalanobis distance exceeds the chi-square quantile.
+
+Each step is two aggregates with partial sums over all documents, so a group of any size is no single task. The core's
+edge comes from counts in fixed bins of the distance's logarithm, a 64th of a doubling wide, so it doesn't depend on how
+rows are dealt; the core may be larger than its share by the rows of one bin.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
@@ -75,10 +80,10 @@ def _stats(keep: list[str]):
 
 
 def _solve(rows: Iterator[pd.DataFrame], scale: float) -> Iterator[pd.DataFrame]:
-    """Precision matrices from moments, one row a group; spreads below the floor are lifted to it."""
+    """Precision matrices and log determinants from moments, one row a group and start; spreads below the floor are lifted to it."""
     floor = np.array(FLOOR) ** 2
     for pdf in rows:
-        mean, precision = [], []
+        mean, precision, logdet = [], [], []
         for r in pdf.itertuples(index=False):
             m = np.array(r.s) / r.n
             cov = np.zeros((DIM, DIM))
@@ -90,7 +95,57 @@ def _solve(rows: Iterator[pd.DataFrame], scale: float) -> Iterator[pd.DataFrame]
             w = np.maximum(w, floor.min() * 0.25)
             mean.append(m.tolist())
             precision.append(((v / w) @ v.T).reshape(-1).tolist())
-        yield pd.DataFrame({"g": pdf["g"], "m": mean, "p": precision})
+            logdet.append(float(np.log(w).sum()))
+        yield pd.DataFrame({"g": pdf["g"], "start": pdf["start"], "m": mean, "p": precision, "logdet": logdet})
+
+
+ESTIMATE = "g string, start int, m array<double>, p array<double>, logdet double"
+
+
+def _moments(rows: DataFrame, scale: float, value=lambda d: F.col(f"x{d}")) -> DataFrame:
+    x = [value(d) for d in range(DIM)]
+    sums = F.array(*(F.sum(c) for c in x)).alias("s")
+    products = F.array(*(F.sum(x[i] * x[j]) for i in range(DIM) for j in range(i, DIM))).alias("ss")
+    return rows.groupBy("g", "start").agg(F.count("*").alias("n"), sums, products).mapInPandas(lambda it: _solve(it, scale), ESTIMATE)
+
+
+def covariance_determinant(x: DataFrame, lookup, core: float, most_steps: int = 20) -> DataFrame:
+    """(g, start, m, p, logdet): the reweighted minimum-covariance-determinant estimate of every group of (g, x0, x1, ...).
+
+    ``lookup`` may broadcast a table of a few rows a group.
+    """
+    quartiles = x.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(f"x{d}", [0.25, 0.5, 0.75], 1000).alias(f"q{d}") for d in range(DIM)))
+    spread = [F.greatest((F.element_at(f"q{d}", 3) - F.element_at(f"q{d}", 1)) / 1.349, F.lit(FLOOR[d])) for d in range(DIM)]
+    middle = F.array(*(F.element_at(f"q{d}", 2) for d in range(DIM)))
+    plain = quartiles.select("g", F.lit(0).alias("start"), middle.alias("m"), F.array(*((1 / (spread[i] * spread[i]) if i == j else F.lit(0.0)) for i in range(DIM) for j in range(DIM))).alias("p"), F.lit(0.0).alias("logdet"), "n", F.array(*spread).alias("spread"))
+    plain = stash(plain, "estimate")
+    sizes = plain.select("g", F.ceil(F.col("n") * core).alias("least"))
+    both = x.join(lookup(plain.select("g", "m", "spread")), "g")
+    clipped = lambda d: F.greatest(F.element_at("m", d + 1) - 1.5 * F.element_at("spread", d + 1), F.least(F.element_at("m", d + 1) + 1.5 * F.element_at("spread", d + 1), F.col(f"x{d}")))
+    est = plain.select(*[c.split(" ")[0] for c in ESTIMATE.split(", ")])
+    est = est.unionByName(_moments(x.withColumn("start", F.lit(1)), 1.0)).unionByName(_moments(both.withColumn("start", F.lit(2)), 1.0, clipped))
+    est = stash(est, "estimate")
+    scale = core / chi2_cdf(chi2_quantile(core, DIM), DIM + 2)
+
+    def step(est: DataFrame) -> DataFrame:
+        d = x.join(lookup(est.select("g", "start", "m", "p")), "g").withColumn("bin", F.floor(F.log2(F.greatest(_distance(), F.lit(0.0)) + 1e-9) * 64).cast("int"))
+        upto = Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bins = d.groupBy("g", "start", "bin").count().withColumn("below", F.sum("count").over(upto)).join(lookup(sizes), "g")
+        edge = bins.where("below >= least").groupBy("g", "start").agg(F.min("bin").alias("edge"))
+        return stash(_moments(d.join(lookup(edge), ["g", "start"]).where("bin <= edge"), scale), "estimate")
+
+    est = step(step(est))
+    est = stash(est.groupBy("g").agg(F.min_by(F.struct("start", "m", "p", "logdet"), F.struct("logdet", "start")).alias("e")).select("g", "e.*"), "estimate")
+    for _ in range(most_steps - 2):
+        new = step(est)
+        fell = new.alias("a").join(est.alias("b"), "g").where("a.logdet < b.logdet - 1e-9")
+        if fell.isEmpty():
+            break
+        # a group whose determinant no longer falls keeps its estimate
+        est = stash(new.unionByName(est).groupBy("g").agg(F.min_by(F.struct("start", "m", "p", "logdet"), "logdet").alias("e")).select("g", "e.*"), "estimate")
+    near = chi2_quantile(0.975, DIM)
+    inside = x.join(lookup(est.select("g", "start", "m", "p")), "g").where(_distance() <= near)
+    return stash(_moments(inside, 0.975 / chi2_cdf(near, DIM + 2)), "estimate").join(plain.select("g", "n"), "g")
 
 
 def _distance():
@@ -102,7 +157,7 @@ def _distance():
     return total
 
 
-def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", core: float = 0.75, steps: int = 4, quantile: float = 0.999, least_group: int = 50, most_broadcast: int = 20_000) -> DataFrame:
+def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", core: float = 0.75, most_steps: int = 20, quantile: float = 0.999, least_group: int = 50, most_broadcast: int = 20_000) -> DataFrame:
     """Per document its counts, base_failed, distance (squared; null if base_failed) and kept.
 
     Null language or source is a value of its own. Groups of fewer than ``least_group`` documents are judged with the
@@ -131,19 +186,7 @@ def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return F.broadcast(df) if few else df
 
     x = stash(good.join(lookup(names), ["_l", "_s"]).select("g", *(f"x{d}" for d in range(DIM))), "vectors")
-    quartiles = x.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(f"x{d}", [0.25, 0.5, 0.75], 1000).alias(f"q{d}") for d in range(DIM)))
-    spread = [F.greatest((F.element_at(f"q{d}", 3) - F.element_at(f"q{d}", 1)) / 1.349, F.lit(FLOOR[d])) for d in range(DIM)]
-    est = quartiles.select("g", F.array(*(F.element_at(f"q{d}", 2) for d in range(DIM))).alias("m"), F.array(*((1 / (spread[i] * spread[i]) if i == j else F.lit(0.0)) for i in range(DIM) for j in range(DIM))).alias("p"), "n")
-    est = stash(est, "estimate")
-    sizes = est.select("g", "n")
-    scale = core / chi2_cdf(chi2_quantile(core, DIM), DIM + 2)
-    for _ in range(steps):
-        d = x.join(lookup(est.select("g", "m", "p")), "g").withColumn("d2", _distance())
-        edge = d.groupBy("g").agg(F.percentile_approx("d2", core, 1000).alias("edge"))
-        near = d.join(lookup(edge), "g").where("d2 <= edge")
-        moments = near.groupBy("g").agg(F.count("*").alias("n"), F.array(*(F.sum(f"x{i}") for i in range(DIM))).alias("s"), F.array(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(DIM) for j in range(i, DIM))).alias("ss"))
-        est = stash(moments.mapInPandas(lambda it, scale=scale: _solve(it, scale), "g string, m array<double>, p array<double>"), "estimate")
-    final = names.join(est.join(sizes, "g"), "g")
+    final = names.join(covariance_determinant(x, lookup, core, most_steps), "g")
     out = rows.join(lookup(final), ["_l", "_s"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     cut = chi2_quantile(quantile, DIM)
     kept = ~F.col("base_failed") & ((F.col("n") < least_group) | (F.col("distance") <= cut) | F.col("distance").isNull())

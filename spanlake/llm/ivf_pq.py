@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Coarse centroids and the codebooks of residual parts are fitted on a bounded sample; every vector is indexed in the
-list of its nearest centroid. A query looks into its nearest lists: asymmetric distance tables between the query's
-residual and the codebooks rank a list's vectors by their codes, and the best of them are reranked exactly on the
-original vectors in double precision.
+list of its nearest centroid. The number of lists follows the root of the number of vectors. How many lists a query
+looks into, and how many vectors are reranked, is measured: on a part of the sample, the fewest that find the wanted
+share of true neighbours. A query looks into its nearest lists: asymmetric distance tables between the query's residual
+and the codebooks rate every vector there by its code; of all its lists together the best rated are reranked exactly on
+the original vectors in double precision. Original vectors are only read for those.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def _index(model):
         for batch in batches:
             if len(batch):
                 near, code = model.value.encode(_matrix(batch.column("vector")))
-                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), batch.column("vec_id"), batch.column("vector")], ["list", "code", "vec_id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), batch.column("vec_id"), batch.column("row")], ["list", "code", "vec_id", "row"])
 
     return run
 
@@ -84,50 +86,90 @@ def _probe(model, probes: int):
     return run
 
 
-def _search(model, top: int, rerank: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+def rate(model: Model, centre: np.ndarray, query: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Asymmetric squared distances of every query to the vectors of one list, by their codes."""
+    out = np.zeros((len(query), len(code)), np.float32)
+    for m, (part, book) in enumerate(zip(np.split(query - centre, len(model.books), axis=1), model.books, strict=True)):
+        out += distances(part, book).astype(np.float32)[:, code[:, m]]
+    return out
+
+
+def _least(x: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest, those of ties by place."""
+    if len(x) <= k:
+        return np.arange(len(x))
+    edge = np.partition(x, k - 1)[k - 1]
+    closer = np.flatnonzero(x < edge)
+    return np.concatenate([closer, np.flatnonzero(x == edge)[: k - len(closer)]])
+
+
+def effort(model: Model, sample: np.ndarray, top: int, recall: float, most_queries: int = 200, seed: int = 3) -> tuple[int, int]:
+    """The fewest probed lists, and then vectors to rerank, that find ``recall`` of the true neighbours inside the sample."""
+    rng = np.random.default_rng(seed)
+    pick = rng.choice(len(sample), min(most_queries, len(sample)), replace=False)
+    near, code = model.encode(sample)
+    lists, n, k = len(model.centroids), len(sample), min(top, len(sample) - 1)
+    if k < 1:
+        return lists, 1
+    members = [np.flatnonzero(near == c) for c in range(lists)]
+    order = np.argsort(distances(sample[pick], model.centroids), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(lists), order.shape), axis=1)
+    true = []
+    for r, q in enumerate(pick):
+        d = distances(sample[q : q + 1], sample)[0]
+        d[q] = np.inf
+        true.append(_least(d, k))
+    # a neighbour is found once its list is among those probed
+    depth = np.stack([place[r][near[t]] for r, t in enumerate(true)])
+    probes = int(np.sort(depth.reshape(-1))[min(depth.size - 1, int(np.ceil(recall**0.5 * depth.size)) - 1)]) + 1
+    ranks = []
+    for r, q in enumerate(pick):
+        rated = np.full(n, np.inf, np.float32)
+        for c in order[r, :probes]:
+            if len(members[c]):
+                rated[members[c]] = rate(model, model.centroids[c], sample[q : q + 1], code[members[c]])[0]
+        rated[q] = np.inf
+        by = np.sort(rated)
+        ranks.append(np.where(np.isfinite(rated[true[r]]), np.searchsorted(by, rated[true[r]], "right"), n))
+    rerank = int(np.sort(np.concatenate(ranks))[min(len(pick) * k - 1, int(np.ceil(recall * len(pick) * k)) - 1)])
+    return probes, max(rerank, top)
+
+
+def _search(model, rerank: int):
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("rated", pa.float32())])
 
     def run(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         if not len(vectors) or not len(queries):
             return schema.empty_table()
-        vectors = vectors.sort_by("vec_id")
-        centre, books = model.value.centroids[key[0].as_py()], model.value.books
-        ids = vectors.column("vec_id").to_numpy()
+        vectors = vectors.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+        ids, rows = vectors.column("vec_id").to_numpy(), vectors.column("row").to_numpy()
         code = np.frombuffer(b"".join(vectors.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        x, q = _matrix(vectors.column("vector").combine_chunks()), _matrix(queries.column("vector").combine_chunks())
-        who = queries.column("query_id").to_numpy()
-        out = []
+        q, who = _matrix(queries.column("vector").combine_chunks()), queries.column("query_id").to_numpy()
+        centre, out = model.value.centroids[key[0].as_py()], []
         for a in range(0, len(q), 64):
-            block = q[a : a + 64]
-            tables = [distances(p, b) for p, b in zip(np.split(block - centre, len(books), axis=1), books, strict=True)]
-            for r in range(len(block)):
-                near = np.zeros(len(ids))
-                for m, t in enumerate(tables):
-                    near += t[r][code[:, m]]
-                if len(near) > rerank + 1:  # one more: the query's own row may be among them
-                    edge = np.partition(near, rerank)[rerank]
-                    closer = np.flatnonzero(near < edge)
-                    pick = np.concatenate([closer, np.flatnonzero(near == edge)[: rerank + 1 - len(closer)]])
-                else:
-                    pick = np.arange(len(near))
-                pick = pick[ids[pick] != who[a + r]]
-                gap = x[pick] - block[r]
-                exact = np.sqrt((gap * gap).sum(1))
-                best = np.lexsort((ids[pick], exact))[:top]
-                out.append((np.full(len(best), who[a + r]), ids[pick][best], exact[best]))
+            for r, rated in enumerate(rate(model.value, centre, q[a : a + 64], code)):
+                rated[ids == who[a + r]] = np.inf
+                pick = _least(rated, rerank)
+                pick = pick[np.isfinite(rated[pick])]
+                out.append((np.full(len(pick), who[a + r]), ids[pick], rows[pick], rated[pick]))
         return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=schema)
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", dim: int = 64, top: int = 10, lists: int = 64, probes: int = 44, parts: int = 16, rerank: int = 100, sample: int = 16384, cell_rows: int = 16384, cell_queries: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", dim: int = 64, top: int = 10, lists: int | None = None, probes: int | None = None, parts: int = 16, rerank: int | None = None, recall: float = 0.97, sample: int = 16384, most_lists: int = 4096, cell_rows: int = 16384, cell_queries: int = 4096) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's ``top`` nearest of all vectors but its own id, by Euclidean distance.
 
     Ties go to the smaller id. Vectors that are null, zero, of another dimension or hold null or non-finite components,
     and null ids, take no part, neither as query nor as candidate. Repeated ids are candidates of their own. The
-    sample is the ``sample`` vectors of smallest hash. Lists larger than ``cell_rows``, and probed by more than
-    ``cell_queries`` queries, are dealt over cells, so a vector that a third of all rows repeat is no single task.
-    Queries that find fewer than ``top`` look into every list. An empty table gives no rows.
+    sample is the ``sample`` vectors of smallest hash. ``lists`` is the root of the number of vectors unless given, at
+    most ``most_lists`` and a sixteenth of the sample. ``probes`` and ``rerank`` are measured for ``recall`` on the sample
+    unless given; as a table holds more vectors than its sample, ``rerank`` grows by the root of that ratio. Lists larger
+    than ``cell_rows``, and probed by more than ``cell_queries`` queries, are dealt over cells, so a vector that a third of
+    all rows repeat is no single task. Vectors rated alike by code are ordered by id; beyond the last rank to rerank those
+    of larger ids are left out, as are exact copies of each other past the ``top``. Queries that find fewer than ``top`` look
+    into every list. An empty table gives no rows.
     """
     sc = vectors.sparkSession.sparkContext
     out = "query_id long, rank int, vec_id long, score double"
@@ -137,11 +179,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
         return df.select(F.col(id_col).cast("long").alias(name), v.alias("vector")).where(F.col(name).isNotNull() & usable(F.col("vector"), dim))
 
     base, asked = clean(vectors, "vec_id"), clean(queries, "query_id")
-    drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
+    total = base.count()
+    drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("vector")).limit(sample).select("vector").toArrow()
     if not len(drawn):
         return vectors.sparkSession.createDataFrame([], out)
-    model = sc.broadcast(Model(_matrix(drawn.column("vector").combine_chunks()), lists, parts))
-    index = stash(base.mapInArrow(_index(model), "list int, code binary, vec_id long, vector array<double>"), "index")
+    drawn = _matrix(drawn.column("vector").combine_chunks())
+    lists = lists or int(min(max(8, round(total**0.5)), most_lists, max(1, len(drawn) // 16)))
+    fitted = Model(drawn, lists, parts)
+    if probes is None or rerank is None:
+        measured = effort(fitted, drawn, top, recall)
+        probes, rerank = probes or measured[0], rerank or int(np.ceil(measured[1] * max(1.0, total / len(drawn)) ** 0.5))
+    model = sc.broadcast(fitted)
+    # a vector's row: rows that share an id and the vector are one candidate, with the number of its copies
+    rows = base.groupBy("vec_id", "vector").agg(F.count("*").cast("int").alias("copies")).withColumn("row", F.xxhash64("vec_id", "vector"))
+    rows = stash(rows, "vectors")
+    index = stash(rows.mapInArrow(_index(model), "list int, code binary, vec_id long, row long"), "index")
     sizes = index.groupBy("list").agg(F.count("*").alias("n"))
 
     def search(asked: DataFrame, probes: int) -> DataFrame:
@@ -149,13 +201,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
         cells = sizes.join(ask.groupBy("list").agg(F.count("*").alias("k")), "list")
         cells = F.broadcast(cells.select("list", F.ceil(F.col("n") / cell_rows).cast("int").alias("v"), F.ceil(F.col("k") / cell_queries).cast("int").alias("q")))
         own = F.pmod(F.xxhash64("vec_id"), F.col("v")).cast("int")
-        left = index.join(cells, "list").select("list", own.alias("vs"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("qs"), "code", "vec_id", "vector")
+        left = index.join(cells, "list").select("list", own.alias("vs"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("qs"), "code", "vec_id", "row")
         mine = F.pmod(F.xxhash64("query_id"), F.col("q")).cast("int")
         right = ask.join(cells, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("v") - 1)).alias("vs"), mine.alias("qs"), "query_id", "vector")
         keys = ["list", "vs", "qs"]
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(model, top, rerank), "query_id long, vec_id long, score double")
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(model, rerank), "query_id long, vec_id long, row long, rated float")
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy("rated", "vec_id", "row"))
+        found = found.withColumn("_n", best).where(F.col("_n") <= rerank).select("query_id", "vec_id", "row")
+        pairs = found.join(rows.select("vec_id", "row", F.col("vector").alias("x"), "copies"), ["vec_id", "row"]).join(asked.select("query_id", F.col("vector").alias("y")).distinct(), "query_id")
+        gap = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t)
+        pairs = pairs.select("query_id", "vec_id", F.sqrt(gap).alias("score"), F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(top)))).alias("_copy"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-        return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+        return pairs.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
     first = stash(search(asked, probes), "nearest")
     short = asked.join(first.where(F.col("rank") == top).select("query_id"), "query_id", "left_anti")

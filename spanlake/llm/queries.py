@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from .ngram_trie import score_documents
 from .repair_tokens import read_digests, write_tokens
 from .ring_shards import ring_shards
 from .robust_outliers import robust_outliers
-from .shared import shared_dir, text_bytes, word_count
+from .shared import passing_path, text_bytes, word_count
 from .suffix_dedup import repeated_spans
 
 
@@ -28,16 +27,18 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def op1_repair_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Ids of every whole text, written as Re-Pair shards and decoded again. The files go when the application ends."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    path = f"{shared_dir(spark)}/spanlake-tokens-{uuid.uuid4().hex}"
+    path = passing_path(spark, "tokens")
     write_tokens(_documents(spark, sf_dir, "doc_id", "text"), path, tokenizer)
     return read_digests(spark, path)
 
 
 def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards of a consistent-hash ring, counts at most one apart."""
     docs = _documents(spark, sf_dir, "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (text_bytes(F.col("text")) + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -46,8 +47,9 @@ def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, and when on the training time from 0 to 1."""
     docs = _documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("n"))
-    return mix_sources(docs, size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs, size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken", "first_taken", "position", "repeat_position")
 
 
 OP3_SQL = r"""
@@ -67,37 +69,49 @@ w as (
 ), l as (
   select *, (select arg_min(level, (ratio, rk)) from lv where ratio > level) as lam from lv
 ), t as (
-  select source, words as source_size, least(lim, coalesce(lam * weight, lim)) as target from l
+  select source, rk, words as source_size, least(lim, coalesce(lam * weight, lim)) as target from l
 ), c as (
   select o.doc_id, o.size, t.source_size, t.target, round(t.target)::bigint as goal,
+         case t.rk % 3 when 1 then 0.5::double when 2 then 1.0::double else 1.5::double end as p,
+         case t.rk % 3 when 1 then 1.5::double when 2 then 1.0::double else 0.5::double end as q,
          (sum(o.size) over (partition by o.source order by o.k, o.doc_id nulls first, o.size rows between unbounded preceding and current row))::bigint - o.size as b
   from o join t on o.source is not distinct from t.source
+), d2 as (
+  select *, greatest(0, least(size, goal - b))::bigint as first_taken, greatest(0, least(size, goal - b - source_size))::bigint as again from c
+), y as (
+  select *, (b + first_taken / 2.0::double) / goal as y1, (b + source_size + again / 2.0::double) / goal as y2 from d2
 )
-select doc_id, size, source_size, target,
-       (greatest(0, least(size, goal - b)) + greatest(0, least(size, goal - b - source_size)))::bigint as taken
-from c
+select doc_id, size, source_size, target, first_taken + again as taken, first_taken,
+       case when first_taken > 0 then least(1, greatest(0, case when q = p then y1 / p else (sqrt(p * p + (q - p) * y1 * (p + q)) - p) / (q - p) end)) end as position,
+       case when again > 0 then least(1, greatest(0, case when q = p then y2 / p else (sqrt(p * p + (q - p) * y2 * (p + q)) - p) / (q - p) end)) end as repeat_position
+from y
 """
 
 
 def op4_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every whole text."""
     return score_documents(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and components of near copies of every document."""
     return jaccard_components(_documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and verdict of every whole text."""
     out = robust_outliers(_documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
 def op7_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for every hundredth."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
 def op8_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every whole text, by a model of the labels outside the held-out fold."""
     docs = _documents(spark, sf_dir, "doc_id", "text")
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score_quality(docs, model)
@@ -105,12 +119,13 @@ def op8_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text without the 50-byte strings of documents before it."""
     return repeated_spans(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op10_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir, "doc_id", "text").select("doc_id", word_count(F.col("text")).alias("n"))
-    return pack_buckets(docs, length=F.col("n"))
+    """Every whole text, in pieces, in the padded places of its batches."""
+    return pack_buckets(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 ALL = (op1_repair_tokens, op2_ring_shards, op3_curriculum_mix, op4_ngram_trie, op5_jaccard_join, op6_robust_outliers, op7_ivf_pq, op8_factorization_machine, op9_suffix_dedup, op10_bucket_packing)

@@ -10,7 +10,7 @@ from plain_versions import SCHEMA, components, frame, language_scores, rows, rul
 from pyspark.sql import functions as F
 
 from spanlake.llm import queries as Q
-from spanlake.llm.bucket_packing import boundaries, pack_buckets
+from spanlake.llm.bucket_packing import boundaries, file_order, pack_buckets
 from spanlake.llm.curriculum_mix import mix_sources, training_order
 from spanlake.llm.factorization_machine import WIDTH, features, fit_quality, logits, score_quality
 from spanlake.llm.ivf_pq import nearest
@@ -18,7 +18,7 @@ from spanlake.llm.jaccard_join import Bands, jaccard_components, signatures, ske
 from spanlake.llm.ngram_trie import EliasFano, TrieShard, score_documents
 from spanlake.llm.repair_tokens import Encoder, Shard, encode_shard, read_digests, write_tokens
 from spanlake.llm.ring_shards import place, ring, ring_shards
-from spanlake.llm.robust_outliers import chi2_cdf, chi2_quantile, robust_outliers
+from spanlake.llm.robust_outliers import DIM, chi2_cdf, chi2_quantile, covariance_determinant, robust_outliers
 from spanlake.llm.suffix_dedup import _cut, _runs, common_prefix_intervals, repeated_spans
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
@@ -315,6 +315,40 @@ def test_moderate_junk_goes(spark):
             assert not out[i]["base_failed"] and not out[i]["kept"], out[i]
 
 
+def test_estimate_is_near_the_least_of_all_subsets(spark):
+    """Against every subset of the core's size; groups with a cluster of outliers."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(9)
+    data, sets = [], {}
+    for g, (n, far) in enumerate(((14, 60.0), (16, 200.0))):
+        x = rng.normal(size=(n, DIM)) @ (np.eye(DIM) * 8 + 2)
+        x[: n // 5] += far
+        sets[f"g{g}"] = x
+        data += [(f"g{g}", *map(float, row)) for row in x]
+    df = spark.createDataFrame(data, "g string, " + ", ".join(f"x{d} double" for d in range(DIM)))
+    core = 0.75
+    mine = {r["g"]: r for r in covariance_determinant(df, lambda t: t, core).collect()}
+    for g, x in sets.items():
+        h = int(np.ceil(core * len(x)))
+        best = min(combinations(range(len(x)), h), key=lambda c: np.linalg.det(np.cov(x[list(c)].T, bias=True)))
+        m, cov = x[list(best)].mean(0), np.cov(x[list(best)].T, bias=True) * core / chi2_cdf(chi2_quantile(core, DIM), DIM + 2)
+        near = ((x - m) @ np.linalg.inv(cov) * (x - m)).sum(1) <= chi2_quantile(0.975, DIM)
+        want = x[near].mean(0)
+        assert not near[: len(x) // 5].any()
+        assert np.allclose(mine[g]["m"], want, atol=4.0), (g, mine[g]["m"], want)
+        p = np.array(mine[g]["p"]).reshape(DIM, DIM)
+        out = ((x - mine[g]["m"]) @ p * (x - mine[g]["m"])).sum(1) > chi2_quantile(0.999, DIM)
+        assert out[: len(x) // 5].all()
+        assert out[len(x) // 5 :][near[len(x) // 5 :]].sum() <= 1  # 14 rows in 5 dimensions: steps may end at a subset beside the best
+
+
+def test_verdict_does_not_depend_on_partitions(spark):
+    a = robust_outliers(frame(spark), least_group=5)
+    b = robust_outliers(frame(spark).repartition(11), least_group=5)
+    assert got(a, "doc_id", "n_words", "kept") == got(b, "doc_id", "n_words", "kept")
+
+
 def test_chi_square():
     assert chi2_cdf(chi2_quantile(0.95, 5), 5) == pytest.approx(0.95)
     assert chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
@@ -477,3 +511,20 @@ def test_packing_keeps_all_words(spark):
         fill = next(x["fill"] for x in r if x["bucket"] == k)
         assert part[k] == -(-sum(x["bucket"] == k for x in r) // fill)
     assert pack_buckets(frame(spark, EMPTY)).count() == 0
+    texts = {}
+    for x in sorted(r, key=lambda x: x["piece"]):
+        texts.setdefault(x["doc_id"], []).append(x["text"])
+    for i, t in ODD:
+        if i not in (None, 99):
+            assert texts[i] == [t] if len(texts[i]) == 1 else " ".join(texts[i]).split() == t.split(), i
+
+
+def test_packing_follows_the_given_order(spark, tmp_path):
+    frame(spark).orderBy(F.desc("doc_id"), "text").write.parquet(f"file://{tmp_path}/d")
+    docs, order = file_order(spark.read.parquet(f"file://{tmp_path}/d"))
+    r = pack_buckets(docs, order=order, longest=512, budget=2048, buckets=3).collect()
+    assert len(r) > len(ODD)
+    for k in {x["bucket"] for x in r}:
+        ids = [x["doc_id"] for x in sorted((x for x in r if x["bucket"] == k), key=lambda x: (x["batch"], x["batch_row"]))]
+        assert [-1 if i is None else i for i in ids] == sorted([-1 if i is None else i for i in ids], reverse=True)
+    assert file_order(frame(spark))[1] is None

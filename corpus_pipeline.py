@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm.bucket_packing import pack_buckets
+from spanlake.llm.bucket_packing import file_order, pack_buckets
 from spanlake.llm.curriculum_mix import mix_sources, training_order
 from spanlake.llm.factorization_machine import fit_quality, score_quality
 from spanlake.llm.jaccard_join import jaccard_components
@@ -54,8 +54,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in padded places of token-budget batches."""
-    return pack_buckets(docs)
+    """Pieces of all documents, with their texts, in padded places of token-budget batches.
+
+    Inside a bucket pieces stand in the order of the files that ``docs`` is read from: that of the training sequence.
+    """
+    docs, order = file_order(docs)
+    return pack_buckets(docs, keep=tuple(c for c in ("lang", "source") if c in docs.columns), order=order)
 
 
 STAGES = [(f.__name__, shipped(f)) for f in (quality, near_duplicates, repeated_passages, mixed, packed)]

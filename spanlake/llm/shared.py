@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,22 +39,30 @@ def passing_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def stash(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The folder goes when the application ends, or with ``drop``. ``free``: have the driver's JVM collect garbage, upon
-    which Spark deletes the shuffle files of the jobs that wrote ``df`` rather than at some later time.
+    The folder goes when the application ends, or with ``drop``.
     """
     spark = df.sparkSession
     path = passing_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    if free:
-        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed = path
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the JVM collect garbage, upon which Spark deletes shuffle files that no DataFrame can reach any more.
+
+    It would do so at some later time; a job that writes as much again needn't find the disk full of them.
+    """
+    gc.collect()
+    for _ in range(2):  # what the first one finalises still holds the finished job
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def drop(*stashed: DataFrame) -> None:
     """Delete what ``stash`` wrote, once nothing lazy reads it any more."""
     for df in stashed:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .shared import chunk_for, shards_for, stash, text_bytes
+from .shared import chunk_for, free_shuffles, shards_for, stash, text_bytes
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
@@ -69,7 +69,7 @@ def _runs(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.
         base, step = np.repeat(first, parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         count = np.minimum(np.repeat(count, parts) - step * MOST_RUN, MOST_RUN)
         first = base + step * MOST_RUN
-    return first, count, doc[first], B.mix(low[first])  # a minimum of hashes is small; shards are dealt by its upper bits
+    return first, count, doc[first], low[first]
 
 
 def _sliced(table: pa.Table | pa.RecordBatch, least: int):
@@ -84,11 +84,29 @@ def _ids(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     return np.array([LAST if x is None else x for x in col.to_pylist()], np.int64) if col.null_count else col.to_numpy().astype(np.int64)
 
 
-def _cut(sorted_hash: np.ndarray, shards: int) -> np.ndarray:
-    bits = shards.bit_length() - 1
-    if not bits:
-        return np.array([0, len(sorted_hash)])
-    return np.append(np.searchsorted(sorted_hash, np.arange(shards, dtype=U) << U(64 - bits)), len(sorted_hash))
+def _share(x: np.ndarray, width: int) -> np.ndarray:
+    """Share of minimisers below x (of 1), each counted once, of windows of ``width`` uniform hashes.
+
+    A hash x is some window's minimum if at least width - 1 larger ones stand next to it, left and right together:
+    with probability (1 - x)^(width - 1) (1 + (width - 1) x). This is the integral of that, over its total.
+    """
+    return 1 - (1 - x) ** width * (1 + x * (width - 1) / 2)
+
+
+def _below(share: np.ndarray, width: int) -> np.ndarray:
+    """The hash below which that share of minimisers lies."""
+    a, b = np.zeros(len(share)), np.ones(len(share))
+    for _ in range(60):
+        m = (a + b) / 2
+        low = _share(m, width) < share
+        a, b = np.where(low, m, a), np.where(low, b, m)
+    return (b * 2.0**63).astype(U) << U(1)
+
+
+def _cut(sorted_hash: np.ndarray, shards: int, least: int) -> np.ndarray:
+    """Where each shard begins among ascending minimisers: ranges that hold equal shares of them, and their end."""
+    edges = _below(np.arange(1, shards) / shards, least - min(PIECE, least) + 1)
+    return np.concatenate([[0], np.searchsorted(sorted_hash, edges), [len(sorted_hash)]])
 
 
 def _split(first: np.ndarray, count: np.ndarray, doc: np.ndarray, low: np.ndarray, hot: np.ndarray, buf: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +115,8 @@ def _split(first: np.ndarray, count: np.ndarray, doc: np.ndarray, low: np.ndarra
         return first, count, doc, low
     n = count[hot]
     window = np.repeat(first[hot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    own = B.mix(B.span_hash(B.prefix(buf), window, window + least))
+    own = B.span_hash(B.prefix(buf), window, window + least)  # spread over the range like minimisers are
+    own = _below((own >> U(11)) / 2.0**53, least - min(PIECE, least) + 1)
     cool = ~hot
     return np.concatenate([first[cool], window]), np.concatenate([count[cool], np.ones(len(window), np.int64)]), np.concatenate([doc[cool], np.repeat(doc[hot], n)]), np.concatenate([low[cool], own])
 
@@ -120,7 +139,7 @@ def _anchors(least: int, shards: int):
             value = value[start]
         else:
             many = np.zeros(0, np.uint32)
-        cut = _cut(value, shards)
+        cut = _cut(value, shards, least)
         rows = [(s, B.pack(_deltas(value[a:b]), many[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -212,7 +231,7 @@ def _strings(least: int, shards: int):
         pick = order[start]
         least_id, most_id = np.minimum.reduceat(least_id[order], start), np.maximum.reduceat(most_id[order], start)
         name, low, count, at = name[pick], low[pick], count[pick], at[pick]
-        cut, rows = _cut(low, shards), []
+        cut, rows = _cut(low, shards, least), []
         if (kind == 2).any():  # goes through a shard back to this chunk
             rows.append((key[0].as_py() % shards, B.pack(known[kind == 2])))
         for s in range(shards):
@@ -455,7 +474,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = slim.groupBy("chunk").applyInArrow(_anchors(least, shards), "shard int, chunk long, block binary")
     told = sent.groupBy("shard").applyInArrow(_repeated(hot), "chunk long, block binary")
     strings = slim.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_strings(least, shards), "shard int, chunk long, block binary")
-    firsts = stash(strings.groupBy("shard").applyInArrow(_firsts(least), "chunk long, block binary"), "firsts", free=True)
+    firsts = stash(strings.groupBy("shard").applyInArrow(_firsts(least), "chunk long, block binary"), "firsts")
+    del sent, told, strings
+    free_shuffles(docs.sparkSession)
     kinds = dict(docs.dtypes)
     kept = "".join(f"_kept{i} {kinds[f'_kept{i}']}, " for i in range(len(keep)))
     schema = f"doc_id long, {kept}n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text

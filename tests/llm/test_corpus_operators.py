@@ -182,6 +182,10 @@ def test_elias_fano():
         at, hit = seq.find(probe)
         assert (hit == np.isin(probe, x)).all()
         assert (x[at[hit]] == probe[hit]).all()
+        assert (seq.at(np.arange(len(x))) == x).all()
+        if len(x) > 20:  # between bounds
+            _, hit = seq.find(x, 7, np.full(len(x), 19))
+            assert (np.flatnonzero(hit) == np.arange(7, 19)).all()
 
 
 def test_trie_shard_mapped(tmp_path):
@@ -192,7 +196,7 @@ def test_trie_shard_mapped(tmp_path):
     for trie in (TrieShard.open(block), TrieShard.open(str(tmp_path / "t"))):
         rank, total = trie.context(np.array([9, 6, 70], np.uint64))
         assert rank.tolist() == [1, -1, 2] and total.tolist() == [4, 0, 4]
-        codes = trie.codes(np.array([0, 0, 1, -1, 2]), np.array([1, 2, 3, 1, 9], np.uint64))
+        codes = trie.codes(np.array([0, 1, -1, 2]), np.array([2, 1, 1, 1]), np.array([1, 2, 3, 1, 9], np.uint64))
         assert (codes > 0).tolist() == [True, False, True, False, True]
 
 

@@ -23,10 +23,10 @@ def scored_prediction(x: Column | str) -> Column:
 
 
 def clean_prediction(x: Column | str) -> Column:
-    """A model's answer: a leading ``: `` or ``:`` goes, and with it white space and dots at the end."""
+    """A model's answer: a leading ``: `` or ``:`` goes, with white space at both ends; then, of any answer, one dot at the end, with white space before it."""
     c = _col(x)
-    cut = F.regexp_replace(F.regexp_replace(c, "^: ?", ""), r"^\s+|\s+$", "")
-    return F.when(c.startswith(":"), F.regexp_replace(cut, r"\.+$", "")).otherwise(c)
+    cut = F.when(c.startswith(":"), F.regexp_replace(F.regexp_replace(c, "^: ?", ""), r"^\s+|\s+$", "")).otherwise(c)
+    return F.when(cut.endswith("."), F.regexp_replace(F.substring(cut, F.lit(1), F.length(cut) - 1), r"\s+$", "")).otherwise(cut)
 
 
 def one_begin(x: Column | str, token: str = BEGIN_TOKEN) -> Column:

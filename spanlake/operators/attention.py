@@ -28,9 +28,14 @@ def merge(parts: DataFrame, dim: int, by: tuple[str, ...]) -> DataFrame:
     return out.select(*by, F.array(*(F.col(f"_s{i}") / F.col("_l") for i in range(dim))).alias("out"))
 
 
+def finished(parts: DataFrame, dim: int, by: tuple[str, ...]) -> DataFrame:
+    """The output vectors of states that have nothing to be merged with."""
+    return parts.select(*by, F.array(*(F.element_at("o", i + 1) / F.col("l") for i in range(dim))).alias("out"))
+
+
 def attend(tokens: DataFrame, queries: DataFrame, dim: int, scale: float, by: tuple[str, ...] = ("head",)) -> DataFrame:
     """Exact attention: each query over all tokens of its head. One pass of partial sums after that of the maximum."""
-    return merge(partials(scores(tokens, queries, scale), dim, by), dim, by)
+    return finished(partials(scores(tokens, queries, scale), dim, by), dim, by)
 
 
 def attend_tiled(tokens: DataFrame, queries: DataFrame, dim: int, scale: float, tile: Column, by: tuple[str, ...] = ("head",)) -> DataFrame:
@@ -42,7 +47,7 @@ def attend_tiled(tokens: DataFrame, queries: DataFrame, dim: int, scale: float,
 def attend_causal(tokens: DataFrame, queries: DataFrame, dim: int, scale: float) -> DataFrame:
     """Each query (head, q_pos, query) over the tokens of its head up to its own place: quadratic by definition."""
     scored = scores(tokens, queries, scale).where("token_pos <= q_pos")
-    return merge(partials(scored, dim, ("head", "q_pos")), dim, ("head", "q_pos"))
+    return finished(partials(scored, dim, ("head", "q_pos")), dim, ("head", "q_pos"))
 
 
 def greedy(logits: DataFrame, by: str = "row") -> DataFrame:
@@ -65,6 +70,14 @@ def filtered(logits: DataFrame, top_k: int | None = None, top_p: float | None =
     return rows.select(by, "token", "rank", (F.col("p") / F.sum("p").over(everything)).alias("p"))
 
 
+def drawn(left: DataFrame, seed: int = 0, by: str = "row") -> DataFrame:
+    """One token of each row's filtered probabilities (row, token, rank, p): the first by rank whose running sum exceeds a seeded uniform number."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(by).cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+    upto = Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = left.withColumn("_upto", F.sum("p").over(upto)).withColumn("_last", F.max("rank").over(Window.partitionBy(by)))
+    return rows.where((F.col("_upto") > u) | (F.col("rank") == F.col("_last"))).groupBy(by).agg(F.min_by("token", "rank").alias("token"))
+
+
 def until_stop(steps: DataFrame, stops: list[int], by: str = "seq") -> DataFrame:
     """Generated tokens (seq, step, token) of each sequence up to and with its first stop token."""
     hit = F.col("token").isin(stops).cast("int")

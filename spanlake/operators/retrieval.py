@@ -98,6 +98,21 @@ def concat_sources(parts: list[tuple[str, DataFrame]], by: str = "head", order:
     return rows if most is None else rows.where(F.col("dst_pos") < most)
 
 
+def gather_window(tokens: DataFrame, index: DataFrame, start: int, length: int, by: str = "head") -> DataFrame:
+    """Tokens by a window of an index list (head, i, idx): each with its place in the window, by an equi-join."""
+    window = index.where((F.col("i") >= start) & (F.col("i") < start + length)).select(by, "idx", (F.col("i") - start).alias("dst_pos"))
+    return tokens.join(window, (tokens[by] == window[by]) & (tokens["token_pos"] == window["idx"])).drop(window[by])
+
+
+def by_priority(jobs: DataFrame, layer: str, arrival: str) -> DataFrame:
+    """Jobs with their place, from 0, in order of layer and arrival; only totals of sorted ranges pass through one task."""
+    ranged = jobs.repartitionByRange(layer, arrival).sortWithinPartitions(layer, arrival).withColumn("_part", F.spark_partition_id())
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(layer, arrival))
+    return ranged.withColumn("_i", inside - 1).join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + F.col("_i")).drop("_part", "_i", "_start")
+
+
 def warm_up(clusters: DataFrame, k: int, seed: int = 0, by: str = "head") -> DataFrame:
     """Up to ``k`` non-empty clusters of each head in a seeded pseudo-random order."""
     order = Window.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(by), F.col("cluster_id"))), "cluster_id")

@@ -94,3 +94,14 @@ def fold(tokens: DataFrame, clusters: DataFrame, threshold: int = 16, batch: int
             yield closed()
 
     return rows.mapInPandas(run, f"head {kind}, cluster_id long, size long, pending long, centroid array<double>")
+
+
+def reset_sequences(state: DataFrame, asked: DataFrame) -> DataFrame:
+    """(seq_id, reused, capacity, heads, tokens) for the next requests (seq_id, length, heads).
+
+    A state (seq_id, capacity, heads, tokens) of enough capacity and as many heads is kept and emptied; otherwise, and
+    where there is none, a new one of the request's length takes its place.
+    """
+    fits = (F.col("s.capacity") >= F.col("a.length")) & (F.col("s.heads") == F.col("a.heads"))
+    rows = asked.alias("a").join(state.alias("s"), "seq_id", "left").withColumn("reused", F.coalesce(fits, F.lit(False)))
+    return rows.select("seq_id", "reused", F.when(F.col("reused"), F.col("s.capacity")).otherwise(F.col("a.length")).cast("long").alias("capacity"), F.col("a.heads").alias("heads"), F.lit(0).cast("long").alias("tokens"))

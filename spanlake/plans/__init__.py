@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attention, clustering, corpora, relational, retrieval, updates, vectors  # noqa: F401
+from . import attention, clustering, corpora, relational, retrieval, tasksets, updates, vectors  # noqa: F401
 from .registry import QUERIES, SQL
 
 

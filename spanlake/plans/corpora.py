@@ -133,8 +133,9 @@ def null_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.col("lang").alias("task")).agg(F.concat_ws("/", F.sum((F.length(F.trim("text")) == 0).cast("long")), F.count("*")).alias("nulls"))
 
 
-@query(r"""with p as (select doc_id, (case when doc_id % 3 = 0 then ': ' when doc_id % 3 = 1 then ':' else '' end) || text || (case when doc_id % 2 = 0 then '. ' else '' end) as x from documents)
-select doc_id, case when starts_with(x, ':') then regexp_replace(regexp_replace(regexp_replace(x, '^: ?', ''), '^\s+|\s+$', '', 'g'), '\.+$', '') else x end as pred from p""")
+@query(r"""with p as (select doc_id, (case when doc_id % 3 = 0 then ': ' when doc_id % 3 = 1 then ':' else '' end) || text || (case when doc_id % 2 = 0 then '. ' else '' end) as x from documents),
+s as (select doc_id, case when starts_with(x, ': ') then regexp_replace(x[3:], '^\s+|\s+$', '', 'g') when starts_with(x, ':') then regexp_replace(x[2:], '^\s+|\s+$', '', 'g') else x end as x from p)
+select doc_id, case when suffix(x, '.') then regexp_replace(left(x, -1), '\s+$', '') else x end as pred from s""")
 def postprocess_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     head = F.when(F.col("doc_id") % 3 == 0, ": ").when(F.col("doc_id") % 3 == 1, ":").otherwise("")

@@ -47,7 +47,11 @@ def block_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.expand_blocks(selected(spark, sf_dir)).select("cluster_id", F.col("rank").cast("long").alias("rank"), "block", "block_size", "dst_offset")
 
 
-@query()
+@query(f"""with recursive {SCORED}, n as (select 0 as head, rank, cluster_id, size, ceil(size / 8.0)::bigint as need from ranked where size > 0),
+t as (select head, rank, cluster_id, size, 0 as tile, need as used from n where rank = 1 and need <= 40
+  union all select n.head, n.rank, n.cluster_id, n.size, case when t.used + n.need > 40 then t.tile + 1 else t.tile end, case when t.used + n.need > 40 then n.need else t.used + n.need end
+  from t join n on n.rank = t.rank + 1 where n.need <= 40)
+select head, rank, cluster_id, size, tile from t""")
 def cluster_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cluster_tiles(_long(selected(spark, sf_dir, 1000, 1 << 40)), 40)
 

@@ -82,13 +82,13 @@ def attention_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(A.attend(rows.where("steady").unionByName(got), q, DIM, SCALE), "head")
 
 
-DENSE = "select 0 as head, e.embedding as key, list_dot_product(q.embedding::double[], e.embedding::double[]) * 0.125::double as z from embeddings e, (select embedding from embeddings where vec_id = 0) q where e.vec_id < 96"
+DENSE = "select 0 as head, e.embedding as key, list_dot_product(q.embedding::double[], e.embedding::double[]) * 0.125::double as z from embeddings e, (select embedding from embeddings where vec_id = 0) q"
 
 
 @query(_sql(DENSE, "head"))
 def attention_dense_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nothing indexed yet: all steady tokens."""
-    kv = _kv(spark, sf_dir, one_head=True).where("token_pos < 96")
+    """Nothing indexed yet: all tokens of the head count as steady."""
+    kv = _kv(spark, sf_dir, one_head=True)
     return _rows(A.attend(kv, kv.where("token_pos = 0").select("head", F.col("key").alias("query")), DIM, SCALE), "head")
 
 

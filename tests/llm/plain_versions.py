@@ -105,7 +105,7 @@ def without_repeats(data, least=50):
     return out
 
 
-def language_scores(data, discount=0.75):
+def language_scores(data, discount=0.75, order=3):
     """id, held_out, tokens, known, N, base, score of every row."""
     tokens = [[*words(t, lower=True), None] for _, t in data]
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in data]
@@ -113,16 +113,21 @@ def language_scores(data, discount=0.75):
     for t, h in zip(tokens, held):
         if not h:
             c.update(t)
-            for u, w in zip(["^", *t], t):
-                follow[u][w] += 1
+            for k in range(1, order):
+                for j in range(max(0, k - 1), len(t)):
+                    follow[tuple(["^", *t][j + 1 - k : j + 1])][t[j]] += 1
     n, v = sum(c.values()), len(c)
     out = []
     for (i, _), t, h in zip(data, tokens, held):
         p1 = [(c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in t]
         score = 0
-        for u, w, p in zip(["^", *t], t, p1):
-            total = sum(follow[u].values()) if u in follow else 0
-            score += log10(max(follow[u][w] - discount, 0) / total + discount * len(follow[u]) / total * p if total else p)
+        for j, (w, p) in enumerate(zip(t, p1)):
+            for k in range(1, min(order, j + 2)):
+                u = tuple(["^", *t][j + 1 - k : j + 1])
+                if u in follow:
+                    total = sum(follow[u].values())
+                    p = max(follow[u][w] - discount, 0) / total + discount * len(follow[u]) / total * p
+            score += log10(p)
         out.append((i, h, len(t), sum(c[w] > 0 for w in t), n, sum(map(log10, p1)), score))
     return out
 

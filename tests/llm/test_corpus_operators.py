@@ -15,7 +15,7 @@ from spanlake.llm.curriculum_mix import mix_sources, training_order
 from spanlake.llm.factorization_machine import WIDTH, features, fit_quality, logits, score_quality
 from spanlake.llm.ivf_pq import nearest
 from spanlake.llm.jaccard_join import Bands, jaccard_components, signatures, sketch, sketch_gap
-from spanlake.llm.ngram_trie import EliasFano, TrieShard, score_documents
+from spanlake.llm.ngram_trie import STEP, EliasFano, TrieShard, score_documents
 from spanlake.llm.repair_tokens import Encoder, Shard, encode_shard, read_digests, write_tokens
 from spanlake.llm.ring_shards import place, ring, ring_shards
 from spanlake.llm.robust_outliers import DIM, chi2_cdf, chi2_quantile, covariance_determinant, robust_outliers
@@ -189,25 +189,35 @@ def test_elias_fano():
 
 
 def test_trie_shard_mapped(tmp_path):
-    context, pointer = np.array([5, 9, 70], np.uint64), np.array([0, 2, 3, 5])
-    successor, count = np.array([1, 8, 3, 0, 9], np.uint64), np.array([3, 1, 4, 2, 2])
-    block = TrieShard.build(context, pointer, np.array([4, 4, 4]), successor, count)
+    context = np.array([5, 9, 70], np.uint64)
+    pairs = np.array([0, 2, 3, 5]), np.array([1, 8, 3, 0, 9], np.uint64), np.array([3, 1, 4, 2, 2])
+    triples = np.array([0, 1, 1, 3, 3, 4]), np.array([6, 2, 6, 7], np.uint64), np.array([3, 1, 3, 2])
+    block = TrieShard.build(context, [pairs, triples])
     (tmp_path / "t").write_bytes(block)
     for trie in (TrieShard.open(block), TrieShard.open(str(tmp_path / "t"))):
-        rank, total = trie.context(np.array([9, 6, 70], np.uint64))
-        assert rank.tolist() == [1, -1, 2] and total.tolist() == [4, 0, 4]
-        codes = trie.codes(np.array([0, 1, -1, 2]), np.array([2, 1, 1, 1]), np.array([1, 2, 3, 1, 9], np.uint64))
-        assert (codes > 0).tolist() == [True, False, True, False, True]
-
-
-def test_scores_equal_plain_model(spark):
-    out = score_documents(frame(spark, extra=True), chunk_bytes=4000)
+        at, total = trie.context(np.array([9, 6, 70], np.uint64))
+        assert at.tolist() == [1, -1, 2] and total.tolist() == [4, 0, 4]
+        two = trie.down(0, np.array([0, 1, -1, 2]), np.array([2, 1, 1, 1]), np.array([1, 2, 3, 1, 9], np.uint64))
+        assert two.tolist() == [0, -1, 2, -1, 4]
+        three = trie.down(1, np.array([0, 2, 1, -1, 4]), np.array([1, 3, 1, 1, 2]), np.array([6, 2, 6, 7, 6, 7, 6, 7], np.uint64))
+        assert three.tolist() == [0, 1, 2, -1, -1, -1, -1, 3]
+        assert (trie.gamma(1, np.arange(5)) > 0).tolist() == [True, False, True, False, True]  # no successors: no probability to back off with
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_equal_plain_model(spark, order):
+    out = score_documents(frame(spark, extra=True), order=order, chunk_bytes=4000)
     mine = sorted(([r[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")] for r in out.collect()), key=lambda x: (repr(x[0]), x[2]))
-    for a, b in zip(mine, sorted(language_scores(ODD), key=lambda x: (repr(x[0]), x[2])), strict=True):
+    for a, b in zip(mine, sorted(language_scores(ODD, order=order), key=lambda x: (repr(x[0]), x[2])), strict=True):
         assert tuple(a[:5]) == b[:5]
         assert a[5] == pytest.approx(b[5], rel=1e-9)
-        assert a[6] == pytest.approx(b[6], rel=0.03, abs=0.05)  # quantised to 8 bits
-    assert score_documents(frame(spark, EMPTY)).count() == 0
+        assert a[6] == pytest.approx(b[6], rel=1e-9, abs=a[2] * order * STEP / 2)  # a product of up to order quantised factors a token
+    assert score_documents(frame(spark, EMPTY), order=order).count() == 0
+
+
+def test_scores_need_two_levels(spark):
+    with pytest.raises(ValueError):
+        score_documents(frame(spark), order=1)
 
 
 # -- 5

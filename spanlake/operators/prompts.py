@@ -19,6 +19,7 @@ NEEDLE = "One of the special magic {kind} for {key} is: {value}."
 HIDDEN = "Some special magic {kind} are hidden within the following text. Make sure to memorize it. I will quiz you about the {kind} afterwards.\n{context}\nWhat are all the special magic {kind} for {query} mentioned in the provided text?"
 COMMON = "Below is a numbered list of words. In these words, some appear more often than others. Memorize the ones that appear most often.\n{context}\nQuestion: What are the 10 most common words in the above list?"
 CODED = "Read the following coded text and track the frequency of each coded word. Find the three most frequently appeared coded words. {context}\nQuestion: Do not provide any explanation. Please ignore the dots '....'. What are the three most frequently appeared words in the above coded text?"
+TRACK = "Memorize and track the chain(s) of variable assignment hidden in the following text.\n\n{context}\nQuestion: Find all variables that are assigned the value {query} in the text above."
 ANSWER = "Answer the question based on the given documents. Only give me the answer and do not output any other words."
 QUESTION = ANSWER + "\n\nThe following are given documents.\n\n{context}\n\n" + ANSWER + "\n\nQuestion: {query}"
 
@@ -112,3 +113,40 @@ def question_prompts(questions: DataFrame, placed: DataFrame, docs: DataFrame) -
     listed = F.transform(F.sort_array(F.collect_list("d")), lambda x, i: F.concat(F.lit("Document "), (i + 1).cast("string"), F.lit(":\n"), x["text"]))
     context = rows.groupBy("q").agg(F.array_join(listed, "\n\n").alias("context"))
     return context.join(questions, "q").select("q", fill_template(F.lit(QUESTION), {"query": F.col("query"), "context": F.col("context")}).alias("input"))
+
+
+def tracking_prompts(samples: DataFrame, noises: int, chains: int = 1, hops: int = 4, seed: int = 42) -> DataFrame:
+    """(sample, input, outputs) from (sample): chains of assignments among ``noises`` noise lines; the answers are chain 0's variables.
+
+    A chain's lines stand in order at distinct places. With no more noise lines than a chain has, the noise is cut into
+    its sentences; if they are still too few, chains end early and the answers are the variables that stand in the text.
+    """
+    s, need = F.col("sample"), chains * (hops + 1)
+    units = [NOISE + "\n"] * noises
+    if noises <= hops + 1:
+        units = [x + "." if x.strip() else x for unit in units for x in unit.split(".")]
+    lines = min(hops + 1, len(units) - 1)
+    if lines < 1:
+        raise ValueError("no noise to hide a chain in")
+    many = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # distinct names: each hashed name at its first draw, the first ones of eight more than are needed
+    named = samples.select("sample", many(need + 8).alias("i"))
+    name = F.translate(F.substring(shuffled(_name(s, "variable", F.col("i")), seed), 1, 5), "0123456789abcdef", "ABCDEFGHIJKLMNOP")
+    named = named.groupBy("sample", name.alias("var")).agg(F.min("i").alias("i"))
+    named = named.select("sample", "var", (F.row_number().over(Window.partitionBy("sample").orderBy("i")) - 1).alias("n")).where(F.col("n") < need)
+    named = named.select("sample", "var", F.floor(F.col("n") / (hops + 1)).cast("int").alias("chain"), (F.col("n") % (hops + 1)).alias("hop"))
+    value = seeded_number(_name(s, "start", F.col("chain")), seed, 5).cast("string")
+    before = F.lag("var").over(Window.partitionBy("sample", "chain").orderBy("hop"))
+    line = F.when(F.col("hop") == 0, F.concat(F.lit("VAR "), "var", F.lit(" = "), value)).otherwise(F.concat(F.lit("VAR "), "var", F.lit(" = VAR "), before, F.lit(" ")))
+    named = named.withColumns({"value": value, "line": line}).where(F.col("hop") < lines)
+    drawn = Window.partitionBy("sample", "chain").orderBy(shuffled(_name(s, "at", F.col("chain"), F.col("pos")), seed), "pos")
+    places = samples.select("sample", many(chains).alias("chain")).withColumn("pos", many(len(units)))
+    places = places.withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= lines)
+    places = places.select("sample", "chain", "pos", (F.row_number().over(Window.partitionBy("sample", "chain").orderBy("pos")) - 1).alias("hop"))
+    noise = F.array(*(F.lit(u) for u in units))
+    rows = samples.select("sample", F.posexplode(noise).alias("pos", "line")).select("sample", "pos", F.lit(chains).alias("chain"), F.lit(0).alias("hop"), "line")
+    rows = rows.unionByName(named.join(places, ["sample", "chain", "hop"]).select("sample", "pos", "chain", "hop", "line"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "chain", "hop", "line"))), lambda x: x["line"]), " ")
+    context = rows.groupBy("sample").agg(F.replace(joined, F.lit(". \n"), F.lit(".\n")).alias("context"))
+    first = named.where("chain = 0").groupBy("sample").agg(F.first("value").alias("query"), F.transform(F.sort_array(F.collect_list(F.struct("hop", "var"))), lambda x: x["var"]).alias("outputs"))
+    return context.join(first, "sample").select("sample", fill_template(F.lit(TRACK), {"query": F.col("query"), "context": F.col("context")}).alias("input"), "outputs")

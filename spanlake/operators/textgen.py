@@ -100,25 +100,67 @@ def zeta_counts(spark: SparkSession, total: int, alpha: float, vocabulary: int,
 def with_distractors(questions: DataFrame, docs: DataFrame, size: int, seed: int = 42, draw: int = 4) -> DataFrame:
     """(q, place, doc_idx, gold): each question's documents and distractors, ``size`` together, in seeded order.
 
-    Distractors come from candidate places drawn per question by seeded hash over the document numbers, ``draw`` times as
-    many as are needed, without the question's own; no question meets the whole corpus.
+    Of the distractors those of ``more_context`` (documents of the same article) come first, where questions have that
+    column, then places drawn per question by seeded hash over the document numbers, ``draw`` times as many as are needed;
+    what these leave open is filled by the documents from one more such place on, so that only a corpus of fewer documents
+    gives fewer rows. No question meets the whole corpus.
     """
     total = docs.agg(F.count("*").alias("_total"))
-    gold = questions.select("q", F.explode("context").alias("doc_idx"), F.lit(True).alias("gold"))
-    number = F.pmod(F.conv(F.substring(shuffled(F.concat_ws("/", F.col("q").cast("string"), F.col("_i").cast("string")), seed), 1, 12), 16, 10).cast("long"), F.col("_total"))
-    drawn = questions.crossJoin(F.broadcast(total)).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(size * draw))))
-    drawn = drawn.select("q", number.alias("doc_idx"), F.lit(False).alias("gold")).distinct().join(gold.select("q", "doc_idx"), ["q", "doc_idx"], "left_anti")
-    rows = gold.unionByName(drawn)
-    fill = Window.partitionBy("q").orderBy(F.desc("gold"), shuffled(F.concat_ws("/", F.col("q").cast("string"), F.col("doc_idx").cast("string")), seed))
+    kin = F.coalesce(F.col("more_context"), F.array()) if "more_context" in questions.columns else F.array()
+    asked = questions.select("q", F.coalesce(F.col("context"), F.array()).cast("array<bigint>").alias("context"), kin.cast("array<bigint>").alias("more"))
+
+    def number(i: Column) -> Column:
+        return F.pmod(F.conv(F.substring(shuffled(F.concat_ws("/", F.col("q").cast("string"), i.cast("string")), seed), 1, 12), 16, 10).cast("long"), F.col("_total"))
+
+    def of(source: Column, step: int) -> DataFrame:
+        return asked.select("q", F.explode(source).alias("doc_idx"), F.lit(step).alias("_step"))
+
+    counted = asked.crossJoin(F.broadcast(total))
+    drawn = counted.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(size * draw)))).select("q", number(F.col("_i")).alias("doc_idx"), F.lit(2).alias("_step"))
+    walk = counted.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(size) + F.size("context") + F.size("more"))))
+    walk = walk.select("q", ((number(F.lit(0)) + F.col("_i")) % F.col("_total")).alias("doc_idx"), (F.col("_i") + 3).alias("_step"))
+    rows = of(F.col("context"), 0).unionByName(of(F.col("more"), 1)).unionByName(drawn).unionByName(walk)
+    rows = rows.groupBy("q", "doc_idx").agg(F.min("_step").alias("_step")).withColumn("gold", F.col("_step") == 0)
+    fill = Window.partitionBy("q").orderBy("_step", shuffled(F.concat_ws("/", F.col("q").cast("string"), F.col("doc_idx").cast("string")), seed))
     rows = rows.withColumn("_n", F.row_number().over(fill)).where(F.col("_n") <= size)
     place = Window.partitionBy("q").orderBy(shuffled(F.concat_ws("-", F.col("q").cast("string"), F.col("doc_idx").cast("string")), seed + 1))
     return rows.select("q", F.row_number().over(place).alias("place"), "doc_idx", "gold")
 
 
+def running_sums(rows: DataFrame, by: str, order: str, sums: dict[str, Column], width: int = 1 << 16) -> DataFrame:
+    """``rows`` with running sums per ``by`` in order of ``order``, a whole number that is distinct in its group.
+
+    Ranges of ``width`` numbers are summed first; a window over the ranges' totals gives where each starts, windows
+    inside a range the rest. So a group that has most rows is as many tasks as ranges.
+    """
+    rows = rows.withColumns({f"_{name}": value for name, value in sums.items()}).withColumn("_range", F.floor(F.col(order) / width))
+    totals = rows.groupBy(by, "_range").agg(*(F.sum(f"_{name}").alias(f"_{name}") for name in sums))
+    earlier = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), *(F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_start_{name}") for name in sums))
+    inside = Window.partitionBy(by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    out = out.withColumns({name: F.col(f"_start_{name}") + F.sum(f"_{name}").over(inside) for name in sums})
+    return out.drop("_range", "_by", "_r", *(f"_{name}" for name in sums), *(f"_start_{name}" for name in sums))
+
+
 def within_budget(units: DataFrame, budget: int, by: str, order: str, text: str = "text") -> DataFrame:
     """Units in order as long as their tokens together stay within the budget."""
-    ends = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return units.withColumn("tokens", token_count(F.col(text))).withColumn("running", F.sum("tokens").over(ends)).where(F.col("running") <= budget)
+    counted = units.withColumn("tokens", token_count(F.col(text)))
+    return running_sums(counted, by, order, {"running": F.col("tokens")}).where(F.col("running") <= budget)
+
+
+def fitting_units(units: DataFrame, most: int, spare: int, step: int, by: str, order: str, text: str = "text") -> DataFrame:
+    """(by, units, tokens): how many units, grown by ``step`` and at the end by what is left, fit ``most`` tokens with ``spare`` ones.
+
+    One step beyond the limit is taken back; a group whose first step doesn't fit has 0 units.
+    """
+    counted = units.withColumn("tokens", token_count(F.col(text))).select(by, order, "tokens")
+    every = counted.groupBy(F.col(by).alias("_key")).agg(F.count("*").alias("_all"))
+    rows = running_sums(counted, by, order, {"units": F.lit(1).cast("long"), "used": F.col("tokens")})
+    rows = rows.join(every, F.col(by).eqNullSafe(F.col("_key")))
+    fits = ((F.col("units") % step == 0) | (F.col("units") == F.col("_all"))) & (F.col("used") + spare <= most)
+    out = rows.groupBy(by).agg(F.max(F.when(fits, F.struct("units", "used"))).alias("_best"))
+    return out.select(by, F.coalesce("_best.units", F.lit(0)).cast("long").alias("units"), F.coalesce("_best.used", F.lit(0)).cast("long").alias("tokens"))
 
 
 def chunk_sizes(spark: SparkSession, samples: int, chunks: int, seed: int = 42) -> DataFrame:

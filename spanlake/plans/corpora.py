@@ -80,17 +80,21 @@ def niah_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with d as (select text, row_number() over (order by text) - 1 as doc_idx from (select distinct text from documents)), t as (select count(*) as total from d),
-q as (select item_id as q, item_id % total as gold from benchmark, t),
-c as (select distinct q, ('0x' || substr(md5('42:' || q || '/' || i), 1, 12))::bigint % total as doc_idx from q, t, (select unnest(range(1, 33)) as i)),
-e as (select q, gold as doc_idx, true as gold from q union all select q, doc_idx, false from c where (q, doc_idx) not in (select (q, gold) from q)),
-f as (select *, row_number() over (partition by q order by gold desc, md5('42:' || q || '/' || doc_idx)) as n from e)
-select q, row_number() over (partition by q order by md5('43:' || q || '-' || doc_idx)) as place, doc_idx, gold from f where n <= 8""")
+q as (select item_id as q, item_id % total as gold, total from benchmark, t),
+c as (select q, gold as doc_idx, 0 as step from q union all select q, (gold + i) % total, 1 from q, (select unnest([1, 2]) as i)
+  union all select q, ('0x' || substr(md5('42:' || q || '/' || i), 1, 12))::bigint % total, 2 from q, (select unnest(range(1, 33)) as i)
+  union all select q, (('0x' || substr(md5('42:' || q || '/0'), 1, 12))::bigint % total + i) % total, i + 3 from q, (select unnest(range(0, 12)) as i)),
+e as (select q, doc_idx, min(step) as step from c group by q, doc_idx),
+f as (select *, row_number() over (partition by q order by step, md5('42:' || q || '/' || doc_idx)) as n from e)
+select q, row_number() over (partition by q order by md5('43:' || q || '-' || doc_idx)) as place, doc_idx, step = 0 as gold from f where n <= 8""")
 def qa_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight documents a question: its own, the two after it as those of the same article, and drawn ones."""
     from spanlake.sources.questions import numbered
 
     docs = numbered(table(spark, sf_dir, "documents").select("text"))
     total = docs.agg(F.count("*").alias("_t"))
-    questions = table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(total)).select(F.col("item_id").alias("q"), F.array(F.col("item_id") % F.col("_t")).alias("context"))
+    own = lambda i: (F.col("item_id") + i) % F.col("_t")
+    questions = table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(total)).select(F.col("item_id").alias("q"), F.array(own(0)).alias("context"), F.array(own(1), own(2)).alias("more_context"))
     return G.with_distractors(questions, docs, 8).select("q", F.col("place").cast("long").alias("place"), "doc_idx", "gold")
 
 
@@ -100,6 +104,14 @@ def length_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.within_budget(table(spark, sf_dir, "documents"), 5000, "lang", "doc_id").select("doc_id", "lang", "tokens", "running")
 
 
+@query(f"""with t as (select doc_id, lang, len({WORDS}) as tokens from documents),
+r as (select lang, row_number() over w as n, (sum(tokens) over w)::bigint as used, count(*) over (partition by lang) as total from t window w as (partition by lang order by doc_id rows between unbounded preceding and current row))
+select lang, coalesce(max(n) filter (ok), 0)::bigint as units, coalesce(max(used) filter (ok), 0)::bigint as tokens from (select *, (n % 10 = 0 or n = total) and used + 128 <= 4096 as ok from r) group by lang""")
+def length_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of each language fit 4096 tokens, in steps of ten, with 128 to spare for the answer."""
+    return G.fitting_units(table(spark, sf_dir, "documents"), 4096, 128, 10, "lang", "doc_id")
+
+
 @query("select c::int as chunk, (500 // 7 + (case when c < 500 % 7 then 1 else 0 end))::bigint as n, c + 42 as seed from (select unnest(range(0, 7)) as c)")
 def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.chunk_sizes(spark, 500, 7)

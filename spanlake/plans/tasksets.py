@@ -66,6 +66,29 @@ def niah_prompt_needle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.needle_prompts(_samples(spark, sf_dir), "needle", 12, keys=4, values=2, queries=2)
 
 
+def _track(noises: int, chains: int, hops: int) -> str:
+    n = hops + 1
+    body = " || ".join(p if p in ("context", "query") else _text(p) for p in P.TRACK.replace("{context}", "\x00context\x00").replace("{query}", "\x00query\x00").split("\x00") if p)
+    return f"""with s as (select doc_id as sample from documents),
+d as (select sample, translate(substr(md5('42:' || sample || '/variable/' || i), 1, 5), '0123456789abcdef', 'ABCDEFGHIJKLMNOP') as var, i from s, (select unnest(range(0, {chains * n + 8})) as i)),
+f as (select sample, var, min(i) as i from d group by sample, var), g as (select sample, var, row_number() over (partition by sample order by i) as no from f),
+v as (select sample, var, (no - 1) // {n} as chain, (no - 1) % {n} as hop, 10000 + ('0x' || substr(md5('42:' || sample || '/start/' || ((no - 1) // {n})), 1, 12))::bigint % 90000 as value from g where no <= {chains * n}),
+l as (select a.sample, a.var, a.chain, a.hop, a.value, case when a.hop = 0 then 'VAR ' || a.var || ' = ' || a.value else 'VAR ' || a.var || ' = VAR ' || b.var || ' ' end as line
+  from v a left join v b on a.sample = b.sample and a.chain = b.chain and a.hop = b.hop + 1),
+r as (select sample, chain, pos, row_number() over (partition by sample, chain order by md5('42:' || sample || '/at/' || chain || '/' || pos), pos) as no from s, (select unnest(range(0, {chains})) as chain), (select unnest(range(0, {noises})) as pos)),
+p as (select sample, chain, pos, row_number() over (partition by sample, chain order by pos) - 1 as hop from r where no <= {n}),
+x as (select sample, pos, {chains} as chain, 0 as hop, {_text(P.NOISE)} || chr(10) as line from s, (select unnest(range(0, {noises})) as pos) union all select sample, pos, chain, hop, line from l join p using (sample, chain, hop)),
+c as (select sample, replace(string_agg(line, ' ' order by pos, chain, hop), '. ' || chr(10), '.' || chr(10)) as context from x group by sample),
+a as (select sample, any_value(value)::varchar as query, list(var order by hop) as outputs from v where chain = 0 group by sample)
+select sample, {body} as input, outputs from c join a using (sample)"""
+
+
+@query(_track(12, 2, 4))
+def vt_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two chains of four hops among twelve noise lines, one sample a document."""
+    return P.tracking_prompts(_samples(spark, sf_dir), 12, chains=2, hops=4)
+
+
 @query(f"""with w as (select distinct conv_id as sample, unnest({WORDS}) as word from conversations),
 o as (select sample, word, row_number() over (partition by sample order by md5('42:' || sample || '/' || word), word) as n from w),
 c as (select sample, word, unnest(range(1, case when n <= 10 then 7 else 2 end)) as copy from o),

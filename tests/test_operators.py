@@ -1,9 +1,14 @@
+import itertools
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanlake.functions import params as P
 from spanlake.operators import attention as A
 from spanlake.operators import clustering as C
+from spanlake.operators import prompts, textgen
 from spanlake.operators.retrieval import PageCache, cluster_tiles, page_gate, replay, select_clusters
 from spanlake.operators.updates import Centroids, fold
 
@@ -125,3 +130,44 @@ def test_incremental_threshold(spark, threshold):
     table = spark.createDataFrame([(0, i, n, v.tolist()) for i, (n, v) in enumerate(zip([2, 3, 0], start))], "head int, cluster_id long, size long, centroid array<double>")
     got = {r["cluster_id"]: r for r in fold(tokens, table, threshold, 4).collect()}
     assert [got[i]["size"] for i in range(3)] == c.n.tolist() and np.allclose([got[i]["centroid"] for i in range(3)], c.c)
+
+
+def test_distractors_fill_up(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(10)], "doc_idx long, text string")
+    questions = spark.createDataFrame([(0, [3], [4, 5]), (1, [0, 1], None), (2, [9], list(range(9)))], "q long, context array<long>, more_context array<long>")
+    for size, found in ((4, 4), (10, 10), (30, 10)):
+        rows = textgen.with_distractors(questions, docs, size).collect()
+        for q, gold, kin in ((0, {3}, {4, 5}), (1, {0, 1}, set()), (2, {9}, set(range(9)))):
+            mine = [r for r in rows if r["q"] == q]
+            assert len({r["doc_idx"] for r in mine}) == len(mine) == found
+            assert {r["doc_idx"] for r in mine if r["gold"]} == gold
+            assert sorted(r["place"] for r in mine) == list(range(1, found + 1))
+            assert kin <= {r["doc_idx"] for r in mine} or len(kin) + len(gold) > found
+
+
+@pytest.mark.parametrize("noises, chains, hops", [(12, 2, 4), (3, 1, 4), (1, 1, 9)])
+def test_tracking_prompts_can_be_solved(spark, noises, chains, hops):
+    for r in prompts.tracking_prompts(spark.range(5).withColumnRenamed("id", "sample"), noises, chains, hops).collect():
+        start = re.search(r"assigned the value (\d+) in", r["input"]).group(1)
+        found, values = [], {}
+        for var, number, other in re.findall(r"VAR ([A-P]{5}) = (?:(\d+)|VAR ([A-P]{5}))", r["input"].split("Question:")[0]):
+            values[var] = number or values[other]
+            found += [var] if values[var] == start else []
+        assert found == list(r["outputs"]) and len(found) == min(hops + 1, 5 if noises == 1 else 99)
+
+
+def test_running_sums_and_fitting_units(spark):
+    rows = [(k, i * 7 % 1000, "w " * (i % 4)) for k, n in (("a", 150), (None, 60), ("b", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, at long, text string")
+    got = textgen.running_sums(df.withColumn("n", F.size(F.split(F.trim("text"), " +"))), "k", "at", {"upto": F.col("n")}, width=50).collect()
+    got_units = {r["k"]: (r["units"], r["tokens"]) for r in textgen.fitting_units(df, 100, 9, 10, "k", "at").collect()}
+    for k in ("a", None, "b"):
+        mine = sorted((r["at"], r["n"], r["upto"]) for r in got if r["k"] == k)
+        assert [u for _, _, u in mine] == list(itertools.accumulate(n for _, n, _ in mine))
+        lengths = [len(t.split()) for _, _, t in sorted(r for r in rows if r[0] == k)]
+        n = used = 0
+        for take in [*range(10, len(lengths), 10), len(lengths)]:
+            if sum(lengths[:take]) + 9 > 100:
+                break
+            n, used = take, sum(lengths[:take])
+        assert got_units[k] == (n, used)

@@ -531,8 +531,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             continue
         again = _checked(more, known, classes, shingle, bands)
         tried = tried.unionByName(again)
-        links = links.union(again.where("linked").select("k1", "k2"))
-        comp = stash(components(links), "comps")
+        fresh = again.where("linked").select(F.col("k1").alias("a"), F.col("k2").alias("b"))
+        if not fresh.isEmpty():
+            comp = stash(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(fresh)), "comps")
     drop(groups, asked, members)
     named = classes.join(comp.withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("component", F.coalesce("component", "class_key"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

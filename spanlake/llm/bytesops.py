@@ -90,6 +90,12 @@ def span_hash(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((s[ends] - s[starts]) * powers("down", _INV, len(s))[starts])
 
 
+def every_span_hash(s: np.ndarray, k: int) -> np.ndarray:
+    """``span_hash`` of the k bytes from every place on."""
+    n = len(s) - k
+    return mix((s[k:] - s[:n]) * powers("down", _INV, len(s))[:n])
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of every row: their hashes, starts and ends, and n + 1 bounds of the rows among them."""
     if not len(buf):

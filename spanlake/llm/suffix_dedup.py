@@ -45,9 +45,7 @@ def _runs(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.
     if len(buf) < least:
         return none, none, none, none.astype(U)
     s = B.prefix(buf)
-    n = len(buf) - k + 1
-    at = np.arange(n)
-    h = B.span_hash(s, at, at + k)
+    h = B.every_span_hash(s, k)
     span, width = 1, least - k + 1
     low = h
     while span * 2 <= width:
@@ -55,10 +53,10 @@ def _runs(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.
         span *= 2
     if width > span:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(low)]
-    ok = np.arange(len(low)) + least <= off[doc + 1]
+    ok = np.arange(len(low)) <= np.repeat(off[1:] - least, np.diff(off))[: len(low)]
     new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | ~ok[:-1]
+    new[1:] = (low[1:] != low[:-1]) | ~ok[:-1]
+    new[off[:-1][off[:-1] < len(low)]] = True
     new &= ok
     edge = new | ~ok
     first = np.flatnonzero(new)
@@ -69,7 +67,7 @@ def _runs(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.
         base, step = np.repeat(first, parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         count = np.minimum(np.repeat(count, parts) - step * MOST_RUN, MOST_RUN)
         first = base + step * MOST_RUN
-    return first, count, doc[first], low[first]
+    return first, count, np.searchsorted(off, first, "right") - 1, low[first]
 
 
 def _sliced(table: pa.Table | pa.RecordBatch, least: int):
@@ -246,27 +244,36 @@ def _strings(least: int, shards: int):
 def suffix_order(sym: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes (of symbols 0..256) in order of their first ``depth`` symbols, and their ranks by the first SEED."""
     n = len(sym)
-    pad = np.concatenate([sym.astype(U), np.zeros(SEED, U)])
+    bits, half = n.bit_length(), SEED // 2 + 1
+    pad = np.concatenate([sym.astype(U), np.zeros(half, U)])
     key = np.zeros(n, U)
-    for j in range(SEED):
-        key = key * U(257) + pad[j : j + n]
-
-    def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.cumsum(np.append(True, s[1:] != s[:-1]))
+    for j in range(half):
+        key = (key << U(9)) | pad[j : j + n]
+
+    def ranked(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        if width + bits <= 64:  # the place fits below the key: one sort of plain numbers
+            s = (key << U(bits)) | np.arange(n, dtype=U)
+            s.sort()
+            order = (s & U((1 << bits) - 1)).astype(np.int64)
+            s >>= U(bits)
+        else:
+            order = np.argsort(key, kind="stable")
+            s = key[order]
+        rank = np.zeros(n, U)
+        rank[order] = np.cumsum(np.append(True, s[1:] != s[:-1]), dtype=U)
         return order, rank
 
-    order, rank = ranked(key)
-    seed, have = rank, SEED
-    while have < depth:
-        step = min(have, depth - have)
-        nxt = np.zeros(n, np.int64)
+    order, rank = ranked(key, 9 * half)
+    seed, have = rank, half
+    while have < max(depth, SEED):
+        step = min(have, (SEED if have < SEED else depth) - have)
+        nxt = np.zeros(n, U)
         nxt[: n - step] = rank[step:]
-        order, rank = ranked((rank.astype(U) << U(32)) | nxt.astype(U))
+        order, rank = ranked((rank << U(bits)) | nxt, 2 * bits)
         have += step
-    return order, seed
+        if have == SEED:
+            seed = rank
+    return order, seed.astype(np.int64)
 
 
 def common_prefix_intervals(sym: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,37 +285,41 @@ def common_prefix_intervals(sym: np.ndarray, least: int) -> tuple[np.ndarray, np
     """
     order, seed = suffix_order(sym, least)
     n = len(sym)
+    kind = np.int32 if n < 1 << 22 else np.int64  # holds an interval's number times 257
     last = sym[order - 1]  # the transform: the symbol before each suffix, cyclic
-    to = np.empty(n, np.int64)
+    to = np.empty(n, kind)
     to[np.argsort(last, kind="stable")] = np.arange(n)  # last-to-first mapping
+    last = last.astype(kind)
     clean = np.cumsum(sym == 0)
     end = np.minimum(order + SEED, n) - 1
     before = np.where(order > 0, clean[order - 1], 0)
     name = np.where((clean[end] == before) & (order + SEED <= n), seed[order], 0)
     place = np.flatnonzero(name)
-    name = name[place]
-    scratch = np.full(n, -1, np.int64)
+    name = name[place].astype(kind)
+    scratch, live = np.zeros(n, kind), np.zeros(n, bool)
 
     def closed(place: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Neighbouring places with one name form an interval; those of one suffix end."""
         if not len(place):
             return place, name
         new = np.append(True, name[1:] != name[:-1])
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        ok = size[group] > 1
-        return place[ok], group[ok]
+        ok = ~(new & np.append(new[1:], True))
+        return place[ok], np.cumsum(new, dtype=kind)[ok]
 
     place, name = closed(place, name)
     for _ in range(min(SEED, least), least):
-        by = last[place].astype(np.int64)
+        by = last[place]
         ok = by > 0
         place, name, by = place[ok], name[ok], by[ok]
         moved = to[place]
         scratch[moved] = name * 257 + by
-        moved.sort()
-        name = scratch[moved]
-        place, name = closed(moved, name)
+        if len(moved) * 16 > n:  # in order: by a look at all places, or a sort of the few
+            live[moved] = True
+            moved = np.flatnonzero(live)
+            live[moved] = False
+        else:
+            moved.sort()
+        place, name = closed(moved, scratch[moved])
     out = np.full(n, -1, np.int64)
     out[place] = name
     return order, out
@@ -457,6 +468,12 @@ def _marks(least: int, with_text: bool):
     return run
 
 
+def dealt(total: int, chunk_bytes: int) -> tuple[int, int]:
+    """Chunks and shards for ``total`` bytes of text; a block goes from each to each, so both grow with its root from 512 MiB on."""
+    chunk_bytes = chunk_for(total, chunk_bytes, early=1 << 29)
+    return max(1, -(-total // chunk_bytes)), shards_for(total, max(4 << 20, chunk_bytes))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, chunk_bytes: int = 4 << 20, hot: int = 1 << 14, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """Per document doc_id, the columns of ``keep``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the remaining text.
 
@@ -467,9 +484,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     given = [F.col(f"`{c}`").alias(f"_kept{i}") for i, c in enumerate(keep)]
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *given)
     total = docs.select(F.sum(text_bytes(F.col("text")))).first()[0] or 0
-    chunk_bytes = chunk_for(total, chunk_bytes)
-    shards = shards_for(total, max(4 << 20, chunk_bytes))
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-total // chunk_bytes)))).cast("long"))
+    chunks, shards = dealt(total, chunk_bytes)
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
     slim = docs.select("chunk", "doc_id", "text")
     sent = slim.groupBy("chunk").applyInArrow(_anchors(least, shards), "shard int, chunk long, block binary")
     told = sent.groupBy("shard").applyInArrow(_repeated(hot), "chunk long, block binary")

@@ -19,7 +19,7 @@ from spanlake.llm.ngram_trie import STEP, EliasFano, TrieShard, score_documents
 from spanlake.llm.repair_tokens import Encoder, Shard, encode_shard, read_digests, write_tokens
 from spanlake.llm.ring_shards import place, ring, ring_shards
 from spanlake.llm.robust_outliers import DIM, chi2_cdf, chi2_quantile, covariance_determinant, robust_outliers
-from spanlake.llm.suffix_dedup import _cut, _runs, common_prefix_intervals, repeated_spans
+from spanlake.llm.suffix_dedup import _cut, _runs, common_prefix_intervals, dealt, repeated_spans
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 ODD = [(i, t) for i, t, *_ in rows()]
@@ -481,6 +481,12 @@ def test_repeats_equal_brute_force(spark):
         assert got(repeated_spans(frame(spark), chunk_bytes=3000, hot=hot), "doc_id", "n_removed", "n_spans", "kept_sha256") == sorted(((i, r, s, hashlib.sha256(b).hexdigest()) for i, n, r, s, b in want), key=repr)
 
 
+def test_blocks_grow_with_the_text():
+    small, large = (int(np.prod(dealt(n, 4 << 20))) for n in (1 << 30, 10 << 30))
+    assert large <= 16 * small  # was 80 times for ten times the text, with shards in powers of two
+    assert dealt(0, 4 << 20)[0] == 1 and dealt(100 << 40, 4 << 20)[0] >= (100 << 40) // (256 << 20)
+
+
 def test_shards_of_minimisers_are_even():
     rng = np.random.default_rng(12)
     text = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(30_000)).encode()

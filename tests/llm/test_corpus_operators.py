@@ -9,6 +9,7 @@ from conftest import SMALL
 from plain_versions import SCHEMA, components, frame, language_scores, rows, rule_counts, without_repeats
 from pyspark.sql import functions as F
 
+from spanlake.llm import ivf_pq
 from spanlake.llm import queries as Q
 from spanlake.llm.bucket_packing import boundaries, file_order, pack_buckets
 from spanlake.llm.curriculum_mix import mix_sources, training_order
@@ -401,6 +402,28 @@ def test_nearest_of_few(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_lists_hand_on_little_more_than_is_reranked(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(3000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    handed, inner = [], ivf_pq.found_in_lists
+
+    def counted(*args):
+        out = inner(*args)
+        handed.append(out.count())
+        return out
+
+    monkeypatch.setattr(ivf_pq, "found_in_lists", counted)
+    out = nearest(df, df.where("vec_id < 20"), lists=40, probes=40, rerank=300).collect()
+    assert handed[0] < 20 * 5 * 300  # all 20 x 2999 before
+    for q in range(20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.argsort(d)[:10].tolist()
+        mine = [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q]
+        assert len(set(mine) & set(want)) >= 8
+
+
 # -- 8
 
 

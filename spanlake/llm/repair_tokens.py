@@ -10,6 +10,7 @@ writes will do, and a lost executor's work is redone by Spark's commit protocol.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
@@ -193,11 +194,11 @@ class Shard:
         return self.slice(int(self.bounds[i]), int(self.bounds[i + 1]))
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> str:
     """The byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
-    return [chr(b if b in own else next(rest)) for b in range(256)]
+    return "".join([chr(b if b in own else next(rest)) for b in range(256)])
 
 
 class _Pieces(dict):
@@ -259,7 +260,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _stem(self, stem: str) -> bytes:
-        letters = stem if stem.isascii() else "".join([self.letters[b] for b in stem.encode()])
+        letters = stem if stem.isascii() else codecs.charmap_decode(stem.encode(), "strict", self.letters)[0]
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:

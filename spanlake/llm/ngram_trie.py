@@ -1,9 +1,11 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
-The model, of bigrams unless told otherwise, uses absolute discounting and is backed off to the add-half unigram model:
+The model, of trigrams unless told otherwise, uses absolute discounting and is backed off to the add-half unigram model:
 p(w | h) = max(c(h, w) - D, 0) / c(h) + D * n(h) / c(h) * p(w | h without its first word), n(h) being the number of
 different successors of h, and p(w | h) = p(w | h without its first word) for a history never seen. It grows with the
-corpus, so it is dealt over shards by the first word of an n-gram. Each shard is a trie: its first words, and on every
+corpus, so it is dealt over shards by the first word of an n-gram. A word that begins more than a shard's share of them,
+by a sample, has its n-grams dealt over as many shards as it has shares, by their second word: each of these has a part of
+its successors with all that stands below them, and the parts of its weights are put together by their counts. Each shard is a trie: its first words, and on every
 level below the successors of each node above, all as Elias-Fano sequences (a successor's value is taken relative to its
 parent's place, which keeps the whole level monotone), with monotone pointers from one level to the next, which bound
 the search for a node's successors, and log probabilities quantised to 12 bits. A shard is one block of bytes that
@@ -13,7 +15,7 @@ Documents are dealt into chunks of bounded size. A chunk sends every shard its d
 counts from its training documents; the shard adds the counts up, builds its trie and answers each chunk's n-grams by
 successor search, level by level; the chunk, dealt by the same exchange, adds up its documents' scores. Each n-gram
 travels once a chunk however often it stands there. The shorter history that a place backs off to begins at the place
-after, whose own n-gram is asked for anyway. Trigrams are exchanged in two parts, by ranges of first words.
+after, whose own n-gram is asked for anyway. Trigrams are exchanged in two parts, by ranges of shards.
 
 Words are known by hashes: 56 bits as first words, 40 as second ones, 32 below, where only words after one history must differ.
 """
@@ -241,17 +243,58 @@ def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, token, bounds
 
 
-def _grams(context: np.ndarray, token: np.ndarray, bounds: np.ndarray, order: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, list]:
-    """The n-grams that begin at each place, as a trie; of ``parts`` equal ranges of first words only those of one.
+def _first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each first word (56 bits) begins n-grams; word null: all of them."""
+    for batch in batches:
+        B.release()
+        if batch.num_rows:
+            word, n = np.unique(_tokens(pa.Table.from_batches([batch]))[0] >> U(8), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *word.tolist()], pa.int64()), pa.array([int(n.sum()), *n.tolist()], pa.int64())], ["word", "n"])
+
+
+def frequent_words(docs: DataFrame, total: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words (56 bits, ascending) that begin more than a shard's share of the n-grams, and over how many shards, a power of two, theirs are dealt.
+
+    They are fewer than shards. Counted in a sample, which only balances the shards: about 4 KB of text for each of them, 16 MB at least.
+    """
+    every = max(1, total // max(16 << 20, shards << 12))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text")
+    counts = some.mapInArrow(_first_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    most = counts.orderBy(F.desc("n"), F.asc_nulls_first("word")).limit(shards + 1).toArrow().to_pydict()
+    whole = dict(zip(most["word"], most["n"], strict=True)).get(None, 0)
+    fan = {w: min(shards, 1 << (-(-n * shards // whole) - 1).bit_length()) for w, n in zip(most["word"], most["n"], strict=True) if w is not None and n * shards > whole}
+    return np.array(sorted(fan), U), np.array([fan[w] for w in sorted(fan)], np.int64)
+
 
-    Distinct first words (56 bits) and which one each place has; per level the parents and successors of its nodes
-    and which one each place has, -1 where the document ends before or the first word is another part's.
+def _heads(context: np.ndarray, token: np.ndarray, shards: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct first words (56 bits) and which one each place has; shard and word of every head, by shards, and which head each place has.
+
+    A head is a first word in one of its shards. A frequent word has a head in each of its shards, be there a place for it or not.
+    """
+    names, which = np.unique(context >> U(8), return_inverse=True)
+    words, fans = frequent
+    fan = np.ones(len(names), np.int64)
+    known = np.isin(names, words)
+    fan[known] = fans[np.searchsorted(words, names[known])]
+    start = np.cumsum(fan) - fan
+    word = np.repeat(np.arange(len(names)), fan)
+    shard = ((names >> U(56 - (shards.bit_length() - 1))).astype(np.int64)[word] + np.arange(len(word)) - start[word]) % shards
+    order = np.argsort(shard, kind="stable")
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    place = start[which]
+    spread = np.flatnonzero(known[which])
+    place[spread] += (B.mix(token[spread]) % fan[which[spread]].astype(U)).astype(np.int64)
+    return names, which, shard[order], word[order], at[place]
+
+
+def _levels(head: np.ndarray, token: np.ndarray, bounds: np.ndarray, order: int) -> list:
+    """The n-grams that begin at each place, as levels of a trie below their heads (-1: another part's).
+
+    Per level the parents and successors of its nodes and which one each place has, -1 where the document ends before.
     """
-    first = np.full(len(context), -1, np.int64)
-    mine = context // U((1 << 64) // parts) == U(part) if parts > 1 else np.ones(len(context), bool)
-    names, first[mine] = np.unique(context[mine] >> U(8), return_inverse=True)
     end = np.repeat(bounds[1:], np.diff(bounds))
-    node, levels = first, []
+    node, levels = head, []
     for level in range(order - 1):
         bits = U(next_bits(level))
         here = np.flatnonzero((node >= 0) & (np.arange(len(token)) + level < end))
@@ -259,28 +302,29 @@ def _grams(context: np.ndarray, token: np.ndarray, bounds: np.ndarray, order: in
         node = np.full(len(token), -1, np.int64)
         node[here] = which
         levels.append(((pair >> bits).astype(np.int64), pair & ((U(1) << bits) - U(1)), node))
-    return names, first, levels
+    return levels
 
 
-def _ask(shards: int, order: int, part: int = 0, parts: int = 1):
+def _ask(shards: int, order: int, frequent: tuple[np.ndarray, np.ndarray], part: int = 0, parts: int = 1):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         B.release()
         context, token, bounds = _tokens(table)
         train = np.repeat(~np.array(table.column("held_out").to_pylist(), bool), np.diff(bounds))
-        names, _, levels = _grams(context, token, bounds, order, part, parts)
+        names, _, shard, word, head = _heads(context, token, shards, frequent)
+        mine = np.arange(shards * part // parts, shards * (part + 1) // parts)
+        cut = np.searchsorted(shard, np.append(mine, mine[-1] + 1))
+        names = names[word[cut[0] : cut[-1]]]
+        head, cut = np.where((head >= cut[0]) & (head < cut[-1]), head - cut[0], -1), cut - cut[0]
         size, sent = len(names), []
-        for level, (parent, successor, node) in enumerate(levels):
+        for level, (parent, successor, node) in enumerate(_levels(head, token, bounds, order)):
             n = np.bincount(parent, minlength=size).astype(np.uint32)
             count = np.bincount(node[train & (node >= 0)], minlength=len(parent)).astype(np.uint32)
             width = next_bits(level) // 8
             slim = np.ascontiguousarray(successor.view(np.uint8).reshape(-1, 8)[:, :width]).view(f"V{width}").reshape(-1)
             sent.append((n, np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), slim, count))
             size = len(parent)
-        bits = shards.bit_length() - 1
-        cut = np.append(np.searchsorted(names, np.arange(shards, dtype=U) << U(56 - bits)), len(names))
         blocks = []
-        for s in range(shards):
-            a, b = cut[s], cut[s + 1]
+        for s, a, b in zip(mine.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if a == b:
                 continue
             arrays = [np.diff(names[a:b], prepend=U(0))]
@@ -333,7 +377,7 @@ def merged(parts: list) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray,
     return context, out
 
 
-def _answer(discount: float):
+def _answer(discount: float, frequent: np.ndarray):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         B.release()
         chunks, blocks = [], []
@@ -343,7 +387,8 @@ def _answer(discount: float):
         context, levels = merged([_unfold(b) for b in blocks])
         trie = TrieShard.open(TrieShard.build(context, levels, discount))
         words = context != BEGIN
-        tokens, kinds = int(trie.total[words].sum()), int(words.sum())
+        spread = words & np.isin(context, frequent)  # in other shards too: counted once, by name
+        tokens, kinds, often = int(trie.total[words].sum()), int((words & ~spread).sum()), context[spread].tolist()
         del context, levels
         for i, (c, block) in enumerate(zip(chunks, blocks, strict=True)):
             names, asked = _unfold(block)
@@ -355,7 +400,8 @@ def _answer(discount: float):
                 answer.append(trie.alpha(level, at))
             # the shard's totals stand in one of its rows
             stats = [pa.array([x if i == 0 else 0], pa.int64()) for x in (tokens, kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), key_array(key), pa.array([B.pack(*answer)], pa.binary()), *stats], ["chunk", "shard", "block", "tokens", "kinds"])
+            stats.append(pa.array([often if i == 0 else []], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), key_array(key), pa.array([B.pack(*answer)], pa.binary()), *stats], ["chunk", "shard", "block", "tokens", "kinds", "often"])
 
     return run
 
@@ -367,26 +413,34 @@ def key_array(key: tuple) -> pa.Array:
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(tokens: int, kinds: int, order: int):
-    return lambda table, told: _scored(table, told, tokens, kinds, order)
+def _score(tokens: int, kinds: int, *how):
+    return lambda table, told: _scored(table, told, tokens, kinds, *how)
 
 
-def _scored(table: pa.Table, told: pa.Table, tokens: int, kinds: int, order: int) -> pa.Table:
+def _scored(table: pa.Table, told: pa.Table, tokens: int, kinds: int, shards: int, order: int, frequent: tuple[np.ndarray, np.ndarray]) -> pa.Table:
     B.release()
     context, token, bounds = _tokens(table)
-    _, first, levels = _grams(context, token, bounds, order)
+    names, which, _, word, head = _heads(context, token, shards, frequent)
+    levels = _levels(head, token, bounds, order)
     told = told.sort_by("shard")
     have, *codes = (np.concatenate(x) for x in zip(*(B.unpack(x.as_py()) for x in told.column("block")), strict=True))
-    docs = int(have[0])  # the first context is the beginning, seen once a training document, as often as the end
+    total = np.zeros(len(names), np.int64)
+    np.add.at(total, word, have)
+    share = have / np.maximum(total[word], 1)  # of a first word's count that the head has; 1 but for frequent words
+    docs = int(total[0])  # the first context is the beginning, seen once a training document, as often as the end
     tokens, kinds = tokens + docs, kinds + (docs > 0)
     # a place's own count is that of the next place's context
-    count = np.append(have[first][1:], 0)
+    count = np.append(total[which][1:], 0)
     count[bounds[1:] - 1] = docs
     base = (count + 0.5) / (tokens + 0.5 * (kinds + 1))
-    p, above = base.copy(), first
+    p, above = base.copy(), head
     for level, (_, _, node) in enumerate(levels):
         here = np.flatnonzero(node >= 0)  # the n-gram that begins here predicts the token ``level`` places on
-        gamma, alpha = LEVELS[codes[2 * level][above[here]]], LEVELS[codes[2 * level + 1][node[here]]]
+        gamma, alpha = LEVELS[codes[2 * level]], LEVELS[codes[2 * level + 1][node[here]]]
+        if level:
+            gamma = gamma[above[here]]
+        else:
+            gamma, alpha = np.bincount(word, gamma * share, len(names))[which[here]], alpha * share[head[here]]
         p[here + level] = np.where(gamma > 0, alpha + gamma * p[here + level], p[here + level])
         above = node
     out = {c: table.column(c) for c in ("doc_id", "held_out")}
@@ -395,12 +449,11 @@ def _scored(table: pa.Table, told: pa.Table, tokens: int, kinds: int, order: int
     return pa.table(out | {"base_score": pa.array(np.add.reduceat(np.log10(base), start)), "score": pa.array(np.add.reduceat(np.log10(np.minimum(p, 1.0)), start))})
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, discount: float = DISCOUNT, order: int = 2, chunk_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, discount: float = DISCOUNT, order: int = 3, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Log10 probability of every document under a model of those not held out (crc32 of the id as text, mod folds).
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram), score (of the
-    trie). ``order``: words of the longest n-gram, two at least; from three on a
-    frequent first word's shard has all n-grams that begin with it, which grow with the corpus. Words are lower-cased (A-Z) runs of bytes other than
+    trie). ``order``: words of the longest n-gram, two at least. Words are lower-cased (A-Z) runs of bytes other than
     ASCII white space, then one end token. Null and empty texts: the end token only. A null id is in training. Repeated
     rows count as often as they stand. An empty table gives no rows. Other columns are not read.
     """
@@ -414,12 +467,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.withColumn("held_out", out).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-total // chunk_bytes)))).cast("long"))
     # what an order above 2 adds to the exchange is made up for by doing it in parts, one after the other, so disk holds one
     parts, answers = min(shards, 1 << (order - 2).bit_length()), []
+    frequent = frequent_words(docs, total, shards)
     for part in range(parts):
-        asked = docs.groupBy("chunk").applyInArrow(_ask(shards, order, part, parts), "shard int, chunk long, block binary")
-        answers.append(stash(asked.groupBy("shard").applyInArrow(_answer(discount), "chunk long, shard int, block binary, tokens long, kinds long"), "answers"))
+        asked = docs.groupBy("chunk").applyInArrow(_ask(shards, order, frequent, part, parts), "shard int, chunk long, block binary")
+        answers.append(stash(asked.groupBy("shard").applyInArrow(_answer(discount, frequent[0]), "chunk long, shard int, block binary, tokens long, kinds long, often array<long>"), "answers"))
         del asked
         free_shuffles(docs.sparkSession)
     told = functools.reduce(DataFrame.unionByName, answers)
     tokens, kinds = told.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    kinds += told.select(F.explode("often")).distinct().count()
     answers = told.select("chunk", "shard", "block")
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(tokens, kinds, order), OUT)
+    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(tokens, kinds, shards, order, frequent), OUT)

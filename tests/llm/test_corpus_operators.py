@@ -16,7 +16,7 @@ from spanlake.llm.curriculum_mix import mix_sources, training_order
 from spanlake.llm.factorization_machine import WIDTH, features, fit_quality, logits, score_quality
 from spanlake.llm.ivf_pq import nearest
 from spanlake.llm.jaccard_join import Bands, jaccard_components, signatures, sketch, sketch_gap
-from spanlake.llm.ngram_trie import STEP, EliasFano, TrieShard, score_documents
+from spanlake.llm.ngram_trie import STEP, EliasFano, TrieShard, frequent_words, score_documents
 from spanlake.llm.repair_tokens import Encoder, Shard, encode_shard, read_digests, write_tokens
 from spanlake.llm.ring_shards import place, ring, ring_shards
 from spanlake.llm.robust_outliers import DIM, chi2_cdf, chi2_quantile, covariance_determinant, robust_outliers
@@ -216,6 +216,28 @@ def test_scores_equal_plain_model(spark, order):
     assert score_documents(frame(spark, EMPTY), order=order).count() == 0
 
 
+def test_query_scores_trigrams(spark, tmp_path):
+    frame(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    mine = sorted(([r[c] for c in ("doc_id", "n_tokens", "score")] for r in Q.op4_ngram_trie(spark, f"file://{tmp_path}").collect()), key=lambda x: (repr(x[0]), x[1]))
+    for a, b in zip(mine, sorted(language_scores(ODD, order=3), key=lambda x: (repr(x[0]), x[2])), strict=True):
+        assert a[2] == pytest.approx(b[6], rel=1e-9, abs=a[1] * 3 * STEP / 2)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_with_frequent_words(spark, order):
+    """A word that begins half of all n-grams, and one that only documents held out have, over several shards."""
+    rng = np.random.default_rng(5)
+    data = [(i, " ".join(x for j in rng.integers(0, 40, 60).tolist() for x in ("the", f"w{j}")) + (" only" * 400 if zlib.crc32(str(i).encode()) % 5 == 1 else ""), "en", "s", 0) for i in range(60)]
+    docs = frame(spark, data).select("doc_id", "text")
+    words, fan = frequent_words(docs, 10**5, 8)
+    assert len(words) == 2 and fan.max() >= 4
+    mine = sorted(tuple(r) for r in score_documents(docs, order=order, chunk_bytes=4000).collect())
+    for a, b in zip(mine, sorted(language_scores([x[:2] for x in data], order=order)), strict=True):
+        assert a[:5] == b[:5]
+        assert a[5] == pytest.approx(b[5], rel=1e-9)
+        assert a[6] == pytest.approx(b[6], rel=1e-9, abs=a[2] * order * STEP / 2)
+
+
 def test_scores_need_two_levels(spark):
     with pytest.raises(ValueError):
         score_documents(frame(spark), order=1)

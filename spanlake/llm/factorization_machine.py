@@ -165,6 +165,17 @@ def _features(keep: list[str]):
     return run
 
 
+def _fitted(how: dict):
+    def run(table: pa.Table) -> pa.Table:
+        B.release()
+        table = table.sort_by("_id")
+        cells = [(np.frombuffer(i.as_py(), np.uint32).astype(np.int64), np.frombuffer(v.as_py(), np.float32)) for i, v in zip(table.column("idx"), table.column("val"), strict=True)]
+        b, w, v = fit(cells, table.column("_label").to_numpy().astype(np.float32), **how)
+        return pa.table({"b": pa.array([b], pa.float64()), "w": pa.array([w.tobytes()], pa.binary()), "v": pa.array([v.tobytes()], pa.binary())})
+
+    return run
+
+
 def _scores(model, keep: list[str], score_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +197,8 @@ def held_out(key, folds: int = 5, held: int = 0):
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 12000, most_features: int = 4_000_000, folds: int = 5, held: int = 0, **how):
     """The model, from at most ``sample`` labelled ids outside the held-out fold, those of smallest hash.
 
-    Of those, the first whose distinct words together stay below ``most_features`` are used, 8 bytes each on the driver.
+    Of those, the first whose distinct words together stay below ``most_features`` are used, 8 bytes each. It is fitted
+    in one task: the driver, which has the least memory, sees the sample's sizes and the model only.
     Labels that are null or have a null id are ignored; of several labels of one id, the smallest holds, and of several
     texts of one id the one of the smallest hash.
     """
@@ -199,10 +211,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     sizes = found.select("_id", F.xxhash64("_id").alias("h"), (F.octet_length("x.idx") / 4).cast("long").alias("n")).toArrow().sort_by([("h", "ascending"), ("_id", "ascending")])
     fits = np.cumsum(sizes.column("n").to_numpy()) <= most_features
     edge = sizes.column("h").to_numpy()[fits][-1:].tolist()
-    rows = found.where(F.xxhash64("_id") <= (edge[0] if edge else -(1 << 63))).toArrow().sort_by("_id")
+    rows = found.where(F.xxhash64("_id") <= (edge[0] if edge else -(1 << 63))).select("_id", "_label", "x.idx", "x.val")
+    told = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_fitted(how), "b double, w binary, v binary").collect()
     drop(found)
-    cells = [(np.frombuffer(x["idx"], np.uint32).astype(np.int64), np.frombuffer(x["val"], np.float32)) for x in rows.column("x").to_pylist()]
-    return fit(cells, rows.column("_label").to_numpy().astype(np.float32), **how)
+    if not told:
+        return fit([], np.zeros(0, np.float32), **how)
+    b, w, v = told[0]
+    return b, np.frombuffer(w, np.float32), np.frombuffer(v, np.float32).reshape(WIDTH, -1)
 
 
 def score_quality(docs: DataFrame, model, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .shared import components, drop, shards_for, stash, text_bytes
+from .shared import components, drop, free_shuffles, shards_for, stash, text_bytes
 
 U = np.uint64
 
@@ -521,6 +521,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = _checked(asked.select("k1", "k2").distinct(), known, classes, shingle, bands)
     tried, links = first, first.where("linked").select(F.col("k1").alias("a"), F.col("k2").alias("b"))
     comp = stash(components(links), "comps")
+    free_shuffles(docs.sparkSession)  # and what some hundred small jobs left on the driver
     for turn in (*range(1, turns + 1), None):
         own = members.join(comp.withColumnRenamed("node", "key"), "key", "left").select("shard", F.col("key").alias("k1"), F.col("key").alias("k2"), F.lit(0.0).alias("near"), F.lit(0.0).alias("far"), F.coalesce("component", "key").alias("component"), "sketch")
         gaps = asked.join(first, ["k1", "k2"]).select("shard", "k1", "k2", "near", "far", F.lit(0).cast("long").alias("component"), F.lit(None).cast("binary").alias("sketch"))
@@ -534,6 +535,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         fresh = again.where("linked").select(F.col("k1").alias("a"), F.col("k2").alias("b"))
         if not fresh.isEmpty():
             comp = stash(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(fresh)), "comps")
+        free_shuffles(docs.sparkSession)
     drop(groups, asked, members)
     named = classes.join(comp.withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("component", F.coalesce("component", "class_key"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

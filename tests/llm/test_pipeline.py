@@ -60,3 +60,16 @@ def test_no_documents(spark, tmp_path):
     for _, stage in P.STAGES:
         out = stage(spark, docs, d)
         assert out.count() == 0
+
+
+def test_quality_is_fitted_in_a_task(spark, tmp_path, monkeypatch):
+    """The driver, which has the least memory, doesn't fit the model."""
+    from spanlake.llm import factorization_machine
+
+    def here(*_):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(factorization_machine, "descend", here)
+    d = labels_dir(spark, tmp_path)
+    b, w, v = fit_quality(frame(spark), spark.read.parquet(f"{d}/labels.parquet"))
+    assert w.any() and v.shape == (len(w), 8)

@@ -418,6 +418,21 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert {y["query_id"] for y in r} == set(range(0, 1500, 100))
 
 
+def test_nearest_measures_the_queries_asked(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(100, 64)) / 8
+    x = centre[rng.integers(0, 100, 3000)] + rng.normal(size=(3000, 64)) * 0.03
+    x[::100] = rng.normal(size=(30, 64)) / 8  # the queries lie outside the clusters that the others form
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = nearest(df, df.where("vec_id % 100 = 0")).collect()
+    hit = 0
+    for q in range(0, 3000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10].tolist()) & {r["vec_id"] for r in out if r["query_id"] == q})
+    assert hit / 300 >= 0.95
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(i * 100, [float(i == j) + 0.1 for j in range(64)]) for i in range(4)], "vec_id long, embedding array<float>")
     assert nearest(df, df).count() == 12

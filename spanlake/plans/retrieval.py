@@ -22,6 +22,10 @@ ranked as (select sim.cluster_id, size, s, row_number() over (order by s desc, s
 selected as (select * from ranked where rank <= 6 and prefix < 120)"""
 
 
+#: Probes that leave no cluster out.
+EVERY = (1 << 31) - 1
+
+
 def selected(spark: SparkSession, sf_dir: str, probes: int = 6, token_budget: int = 120) -> DataFrame:
     q = table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.lit(0).alias("head"), F.col("embedding").alias("query"))
     return R.select_clusters(R.group_similarity(q, label_clusters(spark, sf_dir), DIM), probes, token_budget)
@@ -36,7 +40,7 @@ def budgeted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 run as (select *, (sum(pages) over (order by rank rows between unbounded preceding and current row))::bigint as running_pages from paged)
 select cluster_id, rank, pages, running_pages from run where running_pages <= 24""")
 def page_budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.page_gate(selected(spark, sf_dir, 1000, 1 << 40), 24)
+    rows = R.page_gate(selected(spark, sf_dir, EVERY, 1 << 62), 24)
     return rows.select("cluster_id", F.col("rank").cast("long").alias("rank"), "pages", "running_pages")
 
 
@@ -53,7 +57,7 @@ t as (select head, rank, cluster_id, size, 0 as tile, need as used from n where
   from t join n on n.rank = t.rank + 1 where n.need <= 40)
 select head, rank, cluster_id, size, tile from t""")
 def cluster_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.cluster_tiles(_long(selected(spark, sf_dir, 1000, 1 << 40)), 40)
+    return R.cluster_tiles(_long(selected(spark, sf_dir, EVERY, 1 << 62)), 40)
 
 
 def _long(df: DataFrame) -> DataFrame:
@@ -63,9 +67,11 @@ def _long(df: DataFrame) -> DataFrame:
 @query(f"with {SCORED} select count(*) as clusters, sum(ceil(size / 8.0))::bigint as pages, true as within from ranked where ceil(size / 8.0) <= 400")
 def cluster_tiles_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No tile exceeds the buffer and, without oversize clusters, none is lost."""
-    tiles = R.cluster_tiles(_long(selected(spark, sf_dir, 1000, 1 << 40)), 400)
+    fit = selected(spark, sf_dir, EVERY, 1 << 62).where(R.page_count("size") <= 400)
+    tiles = R.cluster_tiles(_long(fit), 400)
     per = tiles.groupBy("tile").agg(F.count("*").alias("n"), F.sum(R.page_count("size")).alias("p"))
-    return per.agg(F.sum("n").alias("clusters"), F.sum("p").alias("pages"), F.min(F.col("p") <= 400).alias("within"))
+    within = F.coalesce(F.min(F.col("p") <= 400), F.lit(True)).alias("within")
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("clusters"), F.sum("p").alias("pages"), within)
 
 
 LISTS = """lists as (select vec_id as token_pos, label as cluster_id, row_number() over (order by label, vec_id) - 1 as list_pos from embeddings)"""

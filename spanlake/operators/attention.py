@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.vectors import dot, sums
+from spanlake.operators.cells import causal_states, meet, softmax_states, softmax_weights
 
 
 def scores(tokens: DataFrame, queries: DataFrame, scale: float, on: tuple[str, ...] = ("head",)) -> DataFrame:
@@ -22,8 +23,7 @@ def partials(scored: DataFrame, dim: int, by: tuple[str, ...]) -> DataFrame:
 
 def merge(parts: DataFrame, dim: int, by: tuple[str, ...]) -> DataFrame:
     """The states of several tiles as one output vector: weights are rescaled to the common maximum."""
-    top = parts.groupBy(*by).agg(F.max("m").alias("_m"))
-    rows = parts.join(top, list(by)).withColumn("_w", F.exp(F.col("m") - F.col("_m")))
+    rows = parts.withColumn("_w", F.exp(F.col("m") - F.max("m").over(Window.partitionBy(*by))))
     out = rows.groupBy(*by).agg(F.sum(F.col("l") * F.col("_w")).alias("_l"), *sums("o", dim, F.col("_w")))
     return out.select(*by, F.array(*(F.col(f"_s{i}") / F.col("_l") for i in range(dim))).alias("out"))
 
@@ -44,10 +44,32 @@ def attend_tiled(tokens: DataFrame, queries: DataFrame, dim: int, scale: float,
     return merge(partials(scored, dim, (*by, "_tile")), dim, by)
 
 
-def attend_causal(tokens: DataFrame, queries: DataFrame, dim: int, scale: float) -> DataFrame:
-    """Each query (head, q_pos, query) over the tokens of its head up to its own place: quadratic by definition."""
-    scored = scores(tokens, queries, scale).where("token_pos <= q_pos")
-    return finished(partials(scored, dim, ("head", "q_pos")), dim, ("head", "q_pos"))
+def attend_causal(tokens: DataFrame, queries: DataFrame, dim: int, scale: float, key_rows: int = 16384, query_rows: int = 4096) -> DataFrame:
+    """Each query (head, q_pos, query) over the tokens of its head up to its own place: quadratic by definition.
+
+    Pairs are scored in cells of at most about ``key_rows`` tokens and ``query_rows`` queries, whose states are merged.
+    """
+    head = dict(tokens.dtypes)["head"]
+    schema = f"head {'long' if head == 'bigint' else head}, q_pos long, m double, l double, o array<double>"
+    run = causal_states(dim, scale, schema)
+    tokens = tokens.where("token_pos is not null").select("head", F.col("token_pos").cast("long").alias("token_pos"), "key", "value")
+    queries = queries.where("q_pos is not null").select("head", F.col("q_pos").cast("long").alias("q_pos"), "query")
+    parts = meet(tokens, queries, "head", "token_pos", "q_pos", run, schema, key_rows, query_rows)
+    return merge(parts, dim, ("head", "q_pos"))
+
+
+def softmax_rows(tokens: DataFrame, queries: DataFrame, dim: int, scale: float, key_rows: int = 16384, query_rows: int = 4096) -> DataFrame:
+    """(query_id, token_pos, weight): each query's (head, query_id, query) weights over its head's tokens, to 6 digits.
+
+    Maximum and sum of exponentials of a query come first, from cells of the pairs; then the weights, from smaller cells.
+    """
+    state, out = "query_id long, m double, l double", "query_id long, token_pos long, weight double"
+    tokens, queries = tokens.select("head", "token_pos", "key"), queries.select("head", "query_id", "query")
+    parts = meet(tokens, queries, "head", "token_pos", "query_id", softmax_states(dim, scale, state), state, key_rows, query_rows)
+    parts = parts.withColumn("_m", F.max("m").over(Window.partitionBy("query_id")))
+    whole = parts.groupBy("query_id").agg(F.first("_m").alias("m"), F.sum(F.col("l") * F.exp(F.col("m") - F.col("_m"))).alias("l"))
+    asked = queries.join(whole, "query_id", "left")
+    return meet(tokens, asked, "head", "token_pos", "query_id", softmax_weights(dim, scale, out), out, max(1, key_rows // 4), max(1, query_rows // 16))
 
 
 def greedy(logits: DataFrame, by: str = "row") -> DataFrame:

@@ -64,7 +64,7 @@ def attention_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries in two chunks, each over its key prefix: row by row the same as in one."""
     kv = _kv(spark, sf_dir)
     q = kv.select("head", F.col("token_pos").alias("q_pos"), F.col("key").alias("query"))
-    parts = [A.attend_causal(kv.where(F.col("token_pos") <= b), q.where((F.col("q_pos") >= a) & (F.col("q_pos") <= b)), DIM, SCALE) for a, b in ((0, 255), (256, 1 << 62))]
+    parts = [A.attend_causal(kv.where(F.col("token_pos") <= b), q.where((F.col("q_pos") >= a) & (F.col("q_pos") <= b)), DIM, SCALE) for a, b in ((-(1 << 63), 255), (256, (1 << 63) - 1))]
     return _rows(parts[0].unionByName(parts[1]), "head", "q_pos")
 
 

@@ -31,8 +31,9 @@ def assign(tokens: DataFrame, codebook: DataFrame, vector: str = "key", on: tupl
 
 
 def means(assigned: DataFrame, dim: int, vector: str = "key", by: tuple[str, ...] = ("head", "cluster_id")) -> DataFrame:
-    """Size and mean vector of each cluster, by partial sums."""
-    return assigned.groupBy(*by).agg(F.count("*").alias("size"), *sums(vector, dim)).select(*by, "size", gathered(dim, F.col("size")).alias("centroid"))
+    """Size and mean vector of each cluster, by partial sums; null vectors count for the size alone."""
+    out = assigned.groupBy(*by).agg(F.count("*").alias("size"), F.nullif(F.count(vector), F.lit(0)).alias("_known"), *sums(vector, dim))
+    return out.select(*by, "size", gathered(dim, F.col("_known")).alias("centroid"))
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int, seed: int, least_rounds: int = 1, tol: float = 1e-4, rel_tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, list[float]]:

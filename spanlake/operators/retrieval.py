@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.params import PAGE
 from spanlake.functions.vectors import dot, gathered, sums
+from spanlake.operators.cells import best_products, meet
 
 
 def group_similarity(queries: DataFrame, clusters: DataFrame, dim: int) -> DataFrame:
@@ -119,6 +120,18 @@ def warm_up(clusters: DataFrame, k: int, seed: int = 0, by: str = "head") -> Dat
     return clusters.where("size > 0").withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= k)
 
 
+def best_by_product(keys: DataFrame, queries: DataFrame, dim: int, top: int, key_rows: int = 16384, query_rows: int = 4096) -> DataFrame:
+    """(qid, vec_id, label): the ``top`` keys (vec_id, embedding, label) of each query (qid, qv) by inner product, ties by id.
+
+    All pairs, in cells of bounded size; each hands on its own best ones.
+    """
+    schema = "qid long, vec_id long, label int, s double"
+    one = lambda df: df.withColumn("_all", F.lit(0))
+    found = meet(one(keys), one(queries), "_all", "vec_id", "qid", best_products(dim, top, schema), schema, key_rows, query_rows)
+    order = Window.partitionBy("qid").orderBy(F.desc("s"), F.asc_nulls_last("vec_id"))
+    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).select("qid", "vec_id", "label")
+
+
 class PageCache:
     """Two-tier page cache of clusters: a hot list and a cold list, most recent first.
 

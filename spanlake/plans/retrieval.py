@@ -175,21 +175,16 @@ select budget, round(avg(case when sel.label is not null then 1.0::double else 0
 from (select * from exact, b where r <= 10) x left join sel using (budget, qid, label) group by budget""")
 def recall_at_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the exact 10 best tokens of the queries (ids divisible by 20) that lie in the clusters selected under each budget."""
-    e = table(spark, sf_dir, "embeddings")
-    q = F.broadcast(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")))
-    from pyspark.sql import Window
-
-    exact = e.crossJoin(q).withColumn("s", dot("qv", "embedding"))
-    exact = exact.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "vec_id"))).where("r <= 10").select("qid", "vec_id", "label")
-    cent = label_clusters(spark, sf_dir).crossJoin(q).select(F.col("qid").alias("head"), "cluster_id", "size", dot("centroid", "qv").alias("similarity"))
-    n = table(spark, sf_dir, "embeddings").count()
-    out = None
-    for share in (0.1, 0.2, 0.5, 1.0):
-        b = budget(10, n, share)
-        sel = R.select_clusters(cent, 1 << 30, b.tokens).select(F.col("head").alias("qid"), F.col("cluster_id").alias("label"), F.lit(1.0).alias("hit"))
-        row = exact.join(sel, ["qid", "label"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall")).select(F.lit(share).alias("budget"), "recall")
-        out = row if out is None else out.unionByName(row)
-    return out
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    exact = R.best_by_product(e, q, DIM, 10)
+    cent = q.crossJoin(F.broadcast(label_clusters(spark, sf_dir))).select(F.col("qid").alias("head"), "cluster_id", "size", dot("centroid", "qv").alias("similarity"))
+    near = R.select_clusters(cent, EVERY, 1 << 62).select(F.col("head").alias("qid"), F.col("cluster_id").alias("label"), "prefix")
+    n = e.count()
+    # one pass for all budgets: a cluster is selected while the tokens before it are under the budget
+    hits = {share: F.coalesce((F.col("prefix") < budget(10, n, share).tokens).cast("double"), F.lit(0.0)) for share in (0.1, 0.2, 0.5, 1.0)}
+    row = exact.join(near, ["qid", "label"], "left").agg(F.array(*(F.struct(F.lit(share).alias("budget"), F.round(F.avg(hit), 6).alias("recall")) for share, hit in hits.items())).alias("r"))
+    return row.select(F.inline("r"))
 
 
 PARTS = f"""with {SCORED}, n as (select count(*) as n from embeddings),

@@ -9,6 +9,7 @@ from spanlake.functions.params import budget, hot_capacity
 from spanlake.functions.vectors import dot
 from spanlake.operators import clustering as C
 from spanlake.operators import retrieval as R
+from spanlake.operators.attention import softmax_rows
 
 from .registry import DIM, label_clusters, query, table, tokens
 
@@ -249,8 +250,4 @@ def gemm_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a query set against their heads' keys, normalised by row: maximum, sum of exponentials, division."""
     t = tokens(spark, sf_dir)
     q = t.where("token_pos % 20 = 0").select("head", F.col("token_pos").alias("query_id"), F.col("key").alias("query"))
-    z = t.join(q, "head").withColumn("z", dot("key", "query") * F.lit(0.125)).select("query_id", "token_pos", "z")
-    m = z.groupBy("query_id").agg(F.max("z").alias("m"))
-    w = z.join(m, "query_id").withColumn("w", F.exp(F.col("z") - F.col("m")))
-    total = w.groupBy("query_id").agg(F.sum("w").alias("total"))
-    return w.join(total, "query_id").select("query_id", "token_pos", F.round(F.col("w") / F.col("total"), 6).alias("weight"))
+    return softmax_rows(t, q, DIM, 0.125)

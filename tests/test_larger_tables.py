@@ -32,3 +32,30 @@ def test_tiles_without_oversize_clusters(spark, tmp_path, sizes):
     con = vectors(tmp_path, spark, np.repeat(np.arange(len(sizes)), sizes))
     equal(spark, con, tmp_path, "cluster_tiles_invariants")
     equal(spark, con, tmp_path, "cluster_tiles")
+
+
+@pytest.fixture
+def small_cells(monkeypatch):
+    """Cells of 40 keys and 20 queries, so that small tables need many."""
+    from spanlake.operators import attention, retrieval
+
+    for module in (attention, retrieval):
+        inner = module.meet
+        monkeypatch.setattr(module, "meet", lambda *args, inner=inner: inner(*args[:7], 40, 20))
+
+
+@pytest.mark.parametrize("name", ["attention_causal", "attention_chunked", "recall_at_budget", "gemm_softmax"])
+def test_cells_of_pairs(spark, tmp_path, small_cells, name):
+    """One head has most tokens, ids are far apart, some vectors are null or copies of each other."""
+    labels = np.random.default_rng(1).permutation([0] * 300 + [1] * 50 + [2])
+    con = vectors(tmp_path, spark, labels, ids=[n * 7 if n % 2 else n * 60 + 100000 for n in range(len(labels))], gone={7, 8, 40, 100})
+    equal(spark, con, tmp_path, name)
+
+
+@pytest.mark.parametrize("name", ["attention_causal", "attention_chunked", "recall_at_budget", "gemm_softmax"])
+def test_pairs_are_no_rows(spark, name):
+    """Only cells of vectors are exchanged: no join of all keys of a head with all its queries."""
+    from conftest import SMALL
+
+    plan = plans.queries()[name](spark, SMALL)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with(key" not in plan and "zip_with(qv" not in plan

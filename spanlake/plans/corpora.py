@@ -32,8 +32,8 @@ c as (select sample, word, unnest(range(1, case when r <= 10 then 4 else 2 end))
 select sample, row_number() over (partition by sample order by md5('42:' || sample || '/' || word || '/' || copy), word) as no, word from c""")
 def cwe_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document's words ten stand three times, all others once, numbered in seeded order."""
-    vocabulary = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample"), F.explode(F.array_distinct(T.words("text"))).alias("word"))
-    return G.common_words(vocabulary, 10, 3, 1).select("sample", F.col("no").cast("long").alias("no"), "word")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample"), "text")
+    return G.common_words_of_texts(texts, 10, 3, 1)
 
 
 @query("select k as rank, floor(50000 * power(k::double, -2.0) / 1.6449340668482264)::bigint as n from (select unnest(range(1, 201)) as k)")

@@ -59,3 +59,14 @@ def test_pairs_are_no_rows(spark, name):
 
     plan = plans.queries()[name](spark, SMALL)._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "zip_with(key" not in plan and "zip_with(qv" not in plan
+
+
+def test_words_of_odd_documents(spark, tmp_path):
+    """Documents that share an id or have none, empty and null texts; texts are exchanged and not their words."""
+    texts = [(1, "b a  a\tc"), (1, "a d\n"), (2, ""), (3, None), (4, "x \u2028"), (None, "z y z"), (5, " ".join(f"w{i}" for i in range(40)))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert len(equal(spark, con, tmp_path, "cwe_task")) == 12 + 6 + 6 + 60
+    assert "Generate" not in plans.queries()["cwe_task"](spark, str(tmp_path))._jdf.queryExecution().toString()
